@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.session import materialize
+
 SALTS = 32
 _P = "__dd_"
 
@@ -26,9 +28,10 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.sha2("text", 256))
 
 
-def _counted(base: DataFrame) -> DataFrame:
+def _repeated(base: DataFrame) -> DataFrame:
+    """Digests that occur more than once, as a table of their own, so that a join with it can split its other side."""
     salted = base.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
-    return salted.groupBy(F.col("digest").alias("d_digest")).agg(F.sum("n").alias("d_n"))
+    return materialize(salted.groupBy(F.col("digest").alias("d_digest")).agg(F.sum("n").alias("d_n")).where("d_n > 1").select("d_digest"), "repeated-digests")
 
 
 def _winners(rows: DataFrame) -> DataFrame:
@@ -42,16 +45,15 @@ def _winners(rows: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     base = _base(docs, id_col, text_col)
-    counted = _counted(base)
-    light = base.select("id", "digest")
-    alone = light.join(counted.where("d_n = 1"), F.col("digest") == F.col("d_digest"))
+    repeated = _repeated(base)
+    alone = base.select("id", "digest").join(repeated, F.col("digest") == F.col("d_digest"), "left_anti")
     alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    many = base.join(counted.where("d_n > 1"), F.col("digest") == F.col("d_digest")).select("id", "digest", "text")
+    many = base.join(repeated, F.col("digest") == F.col("d_digest")).select("id", "digest", "text")
     joined = many.join(_winners(many), (F.col("digest") == F.col("w_digest")) & (F.col("text") == F.col("w_text")))
     # rows that repeat id and text become one row with its count, then as many again, the first of them kept
-    repeated = joined.groupBy("id", "keep_id", "group_size", "digest", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    same = joined.groupBy("id", "keep_id", "group_size", "digest", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     place = F.explode(F.sequence(F.lit(1), F.col("n")))
-    copies = repeated.select("id", "keep_id", "group_size", "digest", place.alias("place"))
+    copies = same.select("id", "keep_id", "group_size", "digest", place.alias("place"))
     copies = copies.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"), "digest")
     out = alone.unionByName(copies)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -60,11 +62,11 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     base = _base(docs, id_col, text_col)
-    counted = _counted(base)
+    repeated = _repeated(base)
     rows = docs.withColumn(_P + "digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    tagged = rows.join(counted, F.col(_P + "digest") == F.col("d_digest"))
-    alone = tagged.where("d_n = 1").select(*docs.columns)
-    many = tagged.where("d_n > 1").withColumn("text_", F.coalesce(F.col(text_col), F.lit("")))
+    tagged = rows.join(repeated, F.col(_P + "digest") == F.col("d_digest"), "left")
+    alone = tagged.where("d_digest IS NULL").select(*docs.columns)
+    many = tagged.where("d_digest IS NOT NULL").withColumn("text_", F.coalesce(F.col(text_col), F.lit("")))
     keyed = many.select(F.col(id_col).alias("id"), F.col("text_").alias("text"), F.col(_P + "digest").alias("digest"))
     won = _winners(keyed)
     kept = many.join(won, (F.col(_P + "digest") == F.col("w_digest")) & (F.col("text_") == F.col("w_text")) & F.col(id_col).eqNullSafe(F.col("keep_id")))
