@@ -32,7 +32,7 @@ def safe_int(text: Column, default: int) -> Column:
 
 def boolish(text: Column, default: bool) -> Column:
     t = F.lower(F.trim(text))
-    return F.when(t.isin("1", "true", "yes", "on", "y", "t"), True).when(t.isin("0", "false", "no", "off", "n", "f", ""), False).otherwise(F.lit(default))
+    return F.when(t.isin("1", "true", "yes", "on"), True).when(t.isin("0", "false", "no", "off"), False).otherwise(F.lit(default))
 
 
 def winsor_limits(low: Column, high: Column) -> tuple[Column, Column]:
@@ -41,12 +41,12 @@ def winsor_limits(low: Column, high: Column) -> tuple[Column, Column]:
 
 
 # Spellings of the two mount kinds.
-EQUATORIAL = ("eq", "equatorial", "equ", "gem", "german", "fork_eq")
-ALTAZ = ("altz", "altaz", "alt-az", "alt_az", "azimuthal", "alz")
+EQUATORIAL = ("EQ", "EQUATORIAL", "GEM", "GERMAN")
+ALTAZ = ("ALTZ", "ALT-AZ", "ALT/AZ", "ALT-AZM", "ALTAZ", "ALTITUDE-AZIMUTH")
 
 
 def mount(text: Column) -> Column:
-    t = F.lower(F.trim(text))
+    t = F.upper(F.trim(text))
     return F.when(t.isin(*EQUATORIAL), "EQ").when(t.isin(*ALTAZ), "ALTZ")
 
 
@@ -56,21 +56,32 @@ def mount_mode(eqmode: Column) -> Column:
 
 
 def instrument(creator: Column, instrume: Column) -> Column:
-    both = F.upper(F.concat_ws(" ", creator, instrume))
-    kept = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    return F.when(both.contains("SEESTAR"), F.when(both.contains("S30"), "Seestar S30").when(both.contains("S50"), "Seestar S50").otherwise("Seestar")).otherwise(F.coalesce(kept(instrume), kept(creator)))
+    """The instrument's label: known creators first, then the instrument's own name, then the creator's."""
+    kept = lambda c: F.nullif(F.trim(c), F.lit(""))
+    made, own = F.upper(F.coalesce(creator, F.lit(""))), F.upper(F.coalesce(instrume, F.lit("")))
+    out = F.coalesce(kept(instrume), kept(creator))
+    # creators' marks and labels; the first that fits is taken.
+    for found, label in (
+        (own.contains("ASI"), F.coalesce(kept(instrume), F.lit("ASI (Unknown)"))),
+        (made.contains("ASIAIR"), F.coalesce(kept(instrume), F.lit("ASIAIR"))),
+        (made.contains("SEESTAR S30"), F.lit("Seestar S30")),
+        (made.contains("SEESTAR S50"), F.lit("Seestar S50")),
+    ):
+        out = F.when(found, label).otherwise(out)
+    return out
 
 
 def sexagesimal(text: Column, is_ra: bool) -> Column:
-    """h/m/s or degree marks to degrees; a leading minus holds for all parts of a declination."""
-    plain = F.regexp_replace(F.trim(text), "[hHdD°mM'′sS\"″]", ":")
-    parts = F.filter(F.split(plain, "[:\\s]+"), lambda p: p != "")
-    get = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("double"), F.lit(0.0))
-    first = F.try_element_at(parts, F.lit(1)).try_cast("double")
-    size = F.abs(first) + get(2) / 60 + get(3) / 3600
+    """h/m/s or degree marks to degrees, NULL if a part is no number; a leading minus holds for all parts of a declination."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "s", ""), "[hm°']", ":")
+    parts = F.transform(F.filter(F.split(plain, ":"), lambda p: p != ""), lambda p: F.trim(p).try_cast("double"))
+    get = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit(0.0))
+    first = F.try_element_at(parts, F.lit(1))
     if is_ra:
-        return (first + get(2) / 60 + get(3) / 3600) * 15
-    return F.when(F.ltrim(text).startswith("-"), -size).otherwise(size)
+        value = (first + get(2) / 60 + get(3) / 3600) * 15
+    else:
+        value = F.when(plain.startswith("-"), -1.0).otherwise(1.0) * (F.abs(first) + get(2) / 60 + get(3) / 3600)
+    return F.when(~F.exists(parts, lambda p: p.isNull()), value)
 
 
 def circular_delta(a: Column, b: Column) -> Column:
@@ -108,8 +119,8 @@ def rescale_u16(v: Column, low: Column, high: Column) -> Column:
 def epoch_days(text: Column) -> Column:
     """ISO text, or one of the other usual patterns, to days since 1970; naive times are UTC."""
     # The accepted patterns, in order.
-    patterns = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "dd/MM/yyyy")
-    stamp = F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(p)) for p in patterns])
+    patterns = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
+    stamp = F.coalesce(F.trim(text).try_cast("timestamp"), *[F.try_to_timestamp(F.trim(text), F.lit(p)) for p in patterns])
     return F.unix_micros(stamp) / F.lit(86400e6)
 
 

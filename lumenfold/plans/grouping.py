@@ -81,10 +81,12 @@ def size_histogram(spark, d):
     return r.agg(F.array_join(F.transform(first, lambda e: e["t"]), ", ").alias("top"), F.count(F.when(F.col("rank") > 6, 1)).alias("tail"))
 
 
-@query(_with(ITEMS_SQL, "s AS (SELECT label, stddev_pop(ra) + stddev_pop(\"dec\") AS v FROM items GROUP BY label)") + " SELECT label, least(greatest(CASE WHEN v < 40 THEN 0.05 WHEN v < 75 THEN 0.1 WHEN v < 90 THEN 0.15 ELSE 0.3 END, 0.08), 0.2)::DOUBLE AS threshold FROM s")
+@query(_with(ITEMS_SQL, "s AS (SELECT label, stddev_pop(ra) + stddev_pop(\"dec\") AS v FROM items GROUP BY label)") + " SELECT label, least(greatest(CASE WHEN v / 400 <= 0.12 THEN 0.10 WHEN v / 400 <= 0.30 THEN 0.15 WHEN v / 400 <= 0.60 THEN 0.05 ELSE 0.20 END, 0.08), 0.2)::DOUBLE AS threshold FROM s")
 def threshold_heuristic(spark, d):
     s = items(spark, d).groupBy("label").agg((F.stddev_pop("ra") + F.stddev_pop("dec")).alias("v"))
-    ladder = F.when(F.col("v") < 40, 0.05).when(F.col("v") < 75, 0.1).when(F.col("v") < 90, 0.15).otherwise(0.3)
+    v = F.col("v") / 400
+    # The steps from dispersion to threshold.
+    ladder = F.when(v <= 0.12, 0.10).when(v <= 0.30, 0.15).when(v <= 0.60, 0.05).otherwise(0.20)
     return s.select("label", F.least(F.greatest(ladder, F.lit(0.08)), F.lit(0.2)).alias("threshold"))
 
 

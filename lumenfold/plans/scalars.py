@@ -48,7 +48,7 @@ def excluded_dirs(spark, d):
     return table(spark, d, "pages").where(F.size(F.array_intersect(parts, F.array(*[F.lit(x) for x in ("fr", "es", "rejected", "tmp")]))) == 0).select("page_id")
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN t IN ('eq', 'equatorial', 'equ', 'gem', 'german', 'fork_eq') THEN 'EQ' WHEN t IN ('altz', 'altaz', 'alt-az', 'alt_az', 'azimuthal', 'alz') THEN 'ALTZ' END AS mount, CASE s_nationkey % 4 WHEN 1 THEN 'EQ' WHEN 0 THEN 'ALT_AZ' WHEN 2 THEN 'EQMODE_2' ELSE 'UNKNOWN' END AS mode FROM (SELECT *, lower(trim(CASE s_suppkey % 5 WHEN 0 THEN ' EQ ' WHEN 1 THEN 'AltAz' WHEN 2 THEN 'German' WHEN 3 THEN 'dobson' END)) AS t FROM supplier)")
+@query("SELECT s_suppkey AS id, CASE WHEN t IN ('eq', 'equatorial', 'gem', 'german') THEN 'EQ' WHEN t IN ('altz', 'alt-az', 'alt/az', 'alt-azm', 'altaz', 'altitude-azimuth') THEN 'ALTZ' END AS mount, CASE s_nationkey % 4 WHEN 1 THEN 'EQ' WHEN 0 THEN 'ALT_AZ' WHEN 2 THEN 'EQMODE_2' ELSE 'UNKNOWN' END AS mode FROM (SELECT *, lower(trim(CASE s_suppkey % 5 WHEN 0 THEN ' EQ ' WHEN 1 THEN 'AltAz' WHEN 2 THEN 'German' WHEN 3 THEN 'dobson' END)) AS t FROM supplier)")
 def mount_normalize(spark, d):
     k, n = F.col("s_suppkey") % 5, F.col("s_nationkey") % 4
     text = F.when(k == 0, " EQ ").when(k == 1, "AltAz").when(k == 2, "German").when(k == 3, "dobson")
@@ -60,7 +60,7 @@ def mount_normalize(spark, d):
 def date_to_ordinal(spark, d):
     k = F.col("o_orderkey") % 4
     stamp = F.col("o_orderdate")
-    text = F.when(k == 0, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(stamp, "yyyy/MM/dd HH:mm:ss")).otherwise(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"))
+    text = F.when(k == 0, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format(stamp, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(stamp, "dd/MM/yyyy HH:mm:ss")).otherwise(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"))
     return rounded(table(spark, d, "orders").select("o_orderkey", C.epoch_days(text).alias("day")))
 
 
@@ -82,7 +82,7 @@ def safe_cast(spark, d):
 def sexagesimal(spark, d):
     k = F.col("s_suppkey")
     ra = F.format_string("%dh%dm%ds", k % 24, k % 60, k * 7 % 60)
-    dec = F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.format_string("%d°%d'%d\"", k % 90, k % 60, k * 7 % 60))
+    dec = F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.format_string("%d°%d'%ds", k % 90, k % 60, k * 7 % 60))
     return table(spark, d, "supplier").select(k.alias("id"), F.round(C.sexagesimal(ra, True), 6).alias("ra"), (F.round(C.sexagesimal(dec, False), 6) + 0.0).alias("dec"))
 
 
@@ -106,28 +106,70 @@ def rescale_u16(spark, d):
     return s.join(_limits(s), "channel").select("y", "x", "pixel", level.alias("level"), (level - 32768).alias("shifted"))
 
 
-QUALITY_SQL = "WITH m AS (SELECT doc_id, least(n_chars / 10000.0, 1) AS coverage, quality * 0.3 AS edge, toxic * 0.5 AS trail, (n_chars % 97) / 97.0 AS corner FROM documents JOIN labels USING (doc_id)), s AS (SELECT *, CASE WHEN coverage < 0.2 THEN 0.5 * edge + 0.2 * trail + 0.3 * corner WHEN coverage < 0.5 THEN 0.4 * edge + 0.3 * trail + 0.3 * corner ELSE 0.3 * edge + 0.4 * trail + 0.3 * corner END AS score FROM m)"
+# The weights of the score's terms by how much of the frame objects cover (below 0.20, below 0.50, else).
+WEIGHTS = {
+    0.20: {"cc": 0.18, "ed": 0.12, "sc": 0.22, "nbr": 0.10, "bu": 0.05, "sded": 0.12, "cec": 0.07, "cer": 0.14},
+    0.50: {"cc": 0.17, "ed": 0.13, "sc": 0.25, "nbr": 0.11, "bu": 0.05, "sded": 0.09, "cec": 0.08, "cer": 0.12},
+    9.99: {"cc": 0.16, "ed": 0.14, "sc": 0.28, "nbr": 0.12, "bu": 0.06, "sded": 0.00, "cec": 0.09, "cer": 0.15},
+}
+#: How each metric is bound to a document: SQL that both engines read alike.
+METRICS = {
+    "cc": "(n_chars % 89) / 89.0D", "ed": "(n_chars % 53) / 26.5D", "sc": "(n_chars % 71) / 142.0D", "nbr": "(n_chars % 31) / 155.0D", "bu": "(n_chars % 17) / 85.0D",
+    "sded": "quality * 0.3D", "cec": "(n_chars % 13) / 6.5D", "cer": "(n_chars % 97) / 194.0D", "eoc": "least(n_chars / 10000.0D, 1.0D)", "trl": "toxic * 0.3D + (n_chars % 7) / 70.0D",
+}
 
 
-def _quality(spark, d):
-    """Features bound to documents; the weights follow how much of the frame its objects cover."""
-    n = F.col("n_chars")
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    m = j.select("doc_id", F.least(n / 10000.0, F.lit(1.0)).alias("coverage"), (F.col("quality") * 0.3).alias("edge"), (F.col("toxic") * 0.5).alias("trail"), (n % 97 / 97.0).alias("corner"))
-    mix = lambda a, b, c: a * F.col("edge") + b * F.col("trail") + c * F.col("corner")
-    return m.withColumn("score", F.when(F.col("coverage") < 0.2, mix(0.5, 0.2, 0.3)).when(F.col("coverage") < 0.5, mix(0.4, 0.3, 0.3)).otherwise(mix(0.3, 0.4, 0.3)))
+def _terms(w: dict[str, float]) -> str:
+    loose = lambda k, f: f"{w[k]} * CASE WHEN trl > 0.25 THEN {f} ELSE 1 END"
+    return (
+        f"{w['cc']} * (1 - cc) + {loose('ed', 0.7)} * least(1, ed / 1.5) + {w['sc']} * sc + {w['nbr']} * nbr + {w['bu']} * bu"
+        f" + {loose('sded', 0.3)} * sded + {w['cec']} * least(1, cec) + {w['cer']} * cer"
+    )
 
 
-@query(QUALITY_SQL + " SELECT doc_id, round(score, 6) AS score, score <= 0.28 AS keep FROM s")
+QUALITY_SQL = (
+    "WITH m AS (SELECT doc_id, " + ", ".join(f"{v.replace('D', '::DOUBLE')} AS {k}" for k, v in METRICS.items()) + " FROM documents JOIN labels USING (doc_id)), s AS (SELECT *, CASE "
+    + " ".join(f"WHEN eoc < {limit} THEN {_terms(w)}" for limit, w in WEIGHTS.items()) + " END AS score FROM m), "
+    "o AS (SELECT *, (cc >= 0.70 AND cer < 0.35 AND ed < 1.2) OR (cc >= 0.78 AND sc < 0.28 AND nbr < 0.10) OR (trl > 0.30 AND cer < 0.40 AND sc < 0.40) AS rescued FROM s)"
+)
+
+
+def _quality(spark, d):
+    """Score and override of each labelled document, with its columns bound to the metrics of an image."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    m = j.select("doc_id", *[F.expr(v).alias(k) for k, v in METRICS.items()])
+    c = F.col
+    loose = F.when(c("trl") > 0.25, True).otherwise(False)
+    score = None
+    for limit, w in reversed(WEIGHTS.items()):
+        terms = (
+            w["cc"] * (1 - c("cc")) + w["ed"] * F.when(loose, 0.7).otherwise(1.0) * F.least(F.lit(1.0), c("ed") / 1.5) + w["sc"] * c("sc") + w["nbr"] * c("nbr") + w["bu"] * c("bu")
+            + w["sded"] * F.when(loose, 0.3).otherwise(1.0) * c("sded") + w["cec"] * F.least(F.lit(1.0), c("cec")) + w["cer"] * c("cer")
+        )
+        score = F.when(c("eoc") < limit, terms) if score is None else F.when(c("eoc") < limit, terms).otherwise(score)
+    # The three ways by which an image over the threshold is still accepted.
+    well_covered = (c("cc") >= 0.70) & (c("cer") < 0.35) & (c("ed") < 1.2)
+    good_overall = (c("cc") >= 0.78) & (c("sc") < 0.28) & (c("nbr") < 0.10)
+    elongated = (c("trl") > 0.30) & (c("cer") < 0.40) & (c("sc") < 0.40)
+    return m.withColumn("score", score).withColumn("rescued", well_covered | good_overall | elongated)
+
+
+@query(QUALITY_SQL + " SELECT doc_id, round(score, 6) AS score, score <= 0.48 AS keep FROM o")
 def quality_score(spark, d):
-    return rounded(_quality(spark, d).select("doc_id", "score", (F.col("score") <= 0.28).alias("keep")))
+    return rounded(_quality(spark, d).select("doc_id", "score", (F.col("score") <= 0.48).alias("keep")))
 
 
-@query(QUALITY_SQL + " SELECT doc_id, score > 0.28 AS over, (corner < 0.1 AND trail < 0.2) OR (edge < 0.1 AND coverage > 0.4) OR (coverage > 0.8 AND corner < 0.5) AS rescued FROM s WHERE score > 0.2")
+@query(QUALITY_SQL + " SELECT doc_id, score <= 0.48 OR rescued AS accepted, rescued FROM o")
 def accept_override(spark, d):
-    c = F.col
-    rules = ((c("corner") < 0.1) & (c("trail") < 0.2)) | ((c("edge") < 0.1) & (c("coverage") > 0.4)) | ((c("coverage") > 0.8) & (c("corner") < 0.5))
-    return _quality(spark, d).where("score > 0.2").select("doc_id", (c("score") > 0.28).alias("over"), rules.alias("rescued"))
+    return _quality(spark, d).select("doc_id", ((F.col("score") <= 0.48) | F.col("rescued")).alias("accepted"), "rescued")
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'Seestar S50' WHEN 1 THEN 'Seestar S30' WHEN 2 THEN 'ASIAIR' WHEN 3 THEN 'ZWO ASI 533' WHEN 4 THEN 'Canon 6D' END AS instrument FROM supplier")
+def instrument_label(spark, d):
+    k = F.col("s_suppkey") % 6
+    creator = F.when(k == 0, "made by Seestar S50").when(k == 1, "seestar s30 app").when(k == 2, "ASIAIR")
+    own = F.when(k == 3, "ZWO ASI 533").when(k == 4, " Canon 6D ").otherwise("")
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), C.instrument(creator, own).alias("instrument"))
 
 
 @query("SELECT c_custkey, substr(sha1(lower(c_name)), 1, 16) AS key, coalesce(nullif(trim(c_mktsegment), ''), c_name) AS stable FROM customer")
