@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from lumenfold.session import materialize
 
 SALTS = 32
-_P = "__dd_"
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,15 +62,14 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` that stay, with all their columns."""
     base = _base(docs, id_col, text_col)
     repeated = _repeated(base)
-    rows = docs.withColumn(_P + "digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    tagged = rows.join(repeated, F.col(_P + "digest") == F.col("d_digest"), "left")
-    alone = tagged.where("d_digest IS NULL").select(*docs.columns)
-    many = tagged.where("d_digest IS NOT NULL").withColumn("text_", F.coalesce(F.col(text_col), F.lit("")))
-    keyed = many.select(F.col(id_col).alias("id"), F.col("text_").alias("text"), F.col(_P + "digest").alias("digest"))
-    won = _winners(keyed)
-    kept = many.join(won, (F.col(_P + "digest") == F.col("w_digest")) & (F.col("text_") == F.col("w_text")) & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    whole = F.struct(*docs.columns)
-    one = kept.groupBy(F.col(_P + "digest").alias("g"), F.col("w_text").alias("t")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    tagged = rows.join(repeated, F.col("digest") == F.col("d_digest"), "left")
+    alone = tagged.where("d_digest IS NULL").select("row.*")
+    many = tagged.where("d_digest IS NOT NULL").select("row", "digest", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
+    won = _winners(many.select("id", "text", "digest"))
+    kept = many.join(won, (F.col("digest") == F.col("w_digest")) & (F.col("text") == F.col("w_text")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    one = kept.groupBy("w_digest", "w_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return alone.unionByName(one.select("row.*"))
 
 

@@ -166,15 +166,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     weights = train(docs, labels, id_col=id_col, text_col=text_col, max_labelled=max_labelled)
     light = score(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("t")), weights, text_col="t", out="p")
     table, mean = sites(light.select("host", "path", "p"))
-    table = materialize(table, "sites")
+    table = materialize(table.select(*[F.col(c).alias("__q_" + c) for c in table.columns]), "sites")
     if table.count() <= BROADCAST_SITES:
         table = F.broadcast(table)
     scored = score(docs.select(*own), weights, text_col=text_col)
-    joined = scored.join(table, F.col(host_col).eqNullSafe(F.col("s_host")) & F.col(path_col).eqNullSafe(F.col("s_path")), "left")
+    joined = scored.join(table, F.col(host_col).eqNullSafe(F.col("__q_s_host")) & F.col(path_col).eqNullSafe(F.col("__q_s_path")), "left")
     logit = lambda p: F.log(p / (1 - p))
     inside = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = logit(inside(F.col("doc_score"))) - F.lit(math.log(mean / (1 - mean))) + logit(inside(F.coalesce("path_posterior", F.lit(mean))))
+    odds = logit(inside(F.col("doc_score"))) - F.lit(math.log(mean / (1 - mean))) + logit(inside(F.coalesce("__q_path_posterior", F.lit(mean))))
     posterior = 1 / (1 + F.exp(-odds))
-    host = F.coalesce("host_posterior", F.lit(mean)).alias("host_posterior")
-    path = F.coalesce("path_posterior", F.lit(mean)).alias("path_posterior")
+    host = F.coalesce("__q_host_posterior", F.lit(mean)).alias("host_posterior")
+    path = F.coalesce("__q_path_posterior", F.lit(mean)).alias("path_posterior")
     return joined.select(*own, "doc_score", host, path, posterior.alias("posterior"), (posterior >= threshold).alias("keep"))

@@ -250,5 +250,5 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__sh_id")).distinct()
     kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__sh_id")), "left_semi")
-    whole = F.struct(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.groupBy(F.col(id_col).alias("__sh_g")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
