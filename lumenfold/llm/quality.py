@@ -103,9 +103,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), b.column(1).cast(pa.int32())], names=["at", "v", "good"])
 
-    got = picked.mapInArrow(scan, "at array<long>, v array<double>, good int").orderBy(F.xxhash64("at", "v")).toArrow().to_pydict()
-    rows = [(np.array(a, np.int64), np.array(v)) for a, v in zip(got["at"], got["v"], strict=True)]
-    good = np.array(got["good"], np.float64)
+    got = picked.mapInArrow(scan, "at array<long>, v array<double>, good int").toArrow().to_pydict()
+    ordered = sorted(zip(got["at"], got["v"], got["good"], strict=True))  # tasks end in any order
+    rows = [(np.array(a, np.int64), np.array(v)) for a, v, _ in ordered]
+    good = np.array([g for _, _, g in ordered], np.float64)
     return fit(rows, good) if 0 < good.sum() < len(good) else None
 
 
