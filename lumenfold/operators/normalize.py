@@ -55,24 +55,24 @@ def iterated_regression(pairs: DataFrame, keys: list[str], *, sigma: float = 2.5
     """Fit and clip by residual deviation, so many rounds; a key stops when a clip would leave fewer than ``stop`` samples or its
     deviation is at most 1e-6. All windows share the key's one shuffle."""
     w = Window.partitionBy(*keys)
-    p = pairs.withColumn("k", F.col("x").isNotNull() & F.col("y").isNotNull())
-    p = p.withColumn("total", F.count(F.when(F.col("k"), 1)).over(w)).withColumn("stopped", F.col("total") < least)
+    p = pairs.withColumn("_k", F.col("x").isNotNull() & F.col("y").isNotNull())
+    p = p.withColumn("_total", F.count(F.when(F.col("_k"), 1)).over(w)).withColumn("_stopped", F.col("_total") < least)
 
     def fit(p: DataFrame) -> DataFrame:
-        xx, yy = F.when(F.col("k"), F.col("x")), F.when(F.col("k"), F.col("y"))
+        xx, yy = F.when(F.col("_k"), F.col("x")), F.when(F.col("_k"), F.col("y"))
         p = p.withColumn("slope", safe_div(F.covar_pop(xx, yy).over(w), F.var_pop(xx).over(w))).withColumn("intercept", F.avg(yy).over(w) - F.col("slope") * F.avg(xx).over(w))
         return p.withColumn("n", F.count(xx).over(w))
 
     p = fit(p)
     for _ in range(rounds):
-        p = p.withColumn("r", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
-        p = p.withColumn("rs", F.stddev_pop(F.when(F.col("k"), F.col("r"))).over(w))
-        p = p.withColumn("nk", F.col("k") & (F.abs("r") <= sigma * F.col("rs")))
-        p = p.withColumn("nn", F.count(F.when(F.col("nk"), 1)).over(w))
-        p = p.withColumn("stopped", F.col("stopped") | (F.col("rs") <= 1e-6) | (F.col("nn") < stop))
-        p = fit(p.withColumn("k", F.when(F.col("stopped"), F.col("k")).otherwise(F.col("nk"))))
+        p = p.withColumn("_r", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
+        p = p.withColumn("_rs", F.stddev_pop(F.when(F.col("_k"), F.col("_r"))).over(w))
+        p = p.withColumn("_nk", F.col("_k") & (F.abs("_r") <= sigma * F.col("_rs")))
+        p = p.withColumn("_nn", F.count(F.when(F.col("_nk"), 1)).over(w))
+        p = p.withColumn("_stopped", F.col("_stopped") | (F.col("_rs") <= 1e-6) | (F.col("_nn") < stop))
+        p = fit(p.withColumn("_k", F.when(F.col("_stopped"), F.col("_k")).otherwise(F.col("_nk"))))
     return p.groupBy(*keys).agg(
-        F.when(F.first("total") < least, 1.0).otherwise(F.coalesce(F.first("slope"), F.lit(1.0))).alias("gain"),
-        F.when(F.first("total") < least, 0.0).otherwise(F.coalesce(F.first("intercept"), F.lit(0.0))).alias("offset"),
+        F.when(F.first("_total") < least, 1.0).otherwise(F.coalesce(F.first("slope"), F.lit(1.0))).alias("gain"),
+        F.when(F.first("_total") < least, 0.0).otherwise(F.coalesce(F.first("intercept"), F.lit(0.0))).alias("offset"),
         F.first("n").alias("n"),
     )
