@@ -55,7 +55,8 @@ _PATTERNS = {
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d.])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\d.])\d{13,19}(?!\d)"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,14}(?!\d)"),
+    # between a phone number's parts up to five other signs may stand
+    "phone": re.compile(r"(?<!\w)(?:\+\d{1,3}\W{0,5})?\(\d{2,4}\)\W{0,5}\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,14}(?!\d)"),
 }
 _CASELESS = {"email", "iban", "name"}
 
