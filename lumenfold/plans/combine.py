@@ -48,8 +48,7 @@ def stack_median(spark, d):
 
 @query(_with() + " SELECT pixel, round(min(value), 6) AS low, round(max(value), 6) AS high, count(value) AS n FROM s GROUP BY pixel")
 def stack_minmax(spark, d):
-    s = stack(spark, d)
-    return rounded(R.combine(s, K, "min").withColumnRenamed("value", "low").join(R.combine(s, K, "max").select("pixel", F.col("value").alias("high")), "pixel").select("pixel", "low", "high", "n"))
+    return rounded(stack(spark, d).groupBy(*K).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n")))
 
 
 @query(_with() + " SELECT pixel, round(coalesce(sum(value * weight) / nullif(sum(weight), 0), avg(value)), 6) AS value, count(value) AS n FROM s GROUP BY pixel")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a new local one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = Path(tempfile.mkdtemp(prefix="shared-")).as_uri()
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = Path(own).as_uri()
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
