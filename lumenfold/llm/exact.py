@@ -28,9 +28,11 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _repeated(base: DataFrame) -> DataFrame:
-    """Digests that occur more than once, as a table of their own, so that a join with it can split its other side."""
+    """Digests that occur more than once, as a table of their own, so that a join with it can split its other side. It
+    grows with the data: the hint keeps its joins the same, by shuffle, at every size."""
     salted = base.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(salted.groupBy(F.col("digest").alias("d_digest")).agg(F.sum("n").alias("d_n")).where("d_n > 1").select("d_digest"), "repeated-digests")
+    digests = salted.groupBy(F.col("digest").alias("d_digest")).agg(F.sum("n").alias("d_n")).where("d_n > 1").select("d_digest")
+    return materialize(digests, "repeated-digests").hint("merge")
 
 
 def _winners(rows: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     repeated = _repeated(base)
     alone = base.select("id", "digest").join(repeated, F.col("digest") == F.col("d_digest"), "left_anti")
     alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    many = base.join(repeated, F.col("digest") == F.col("d_digest")).select("id", "digest", "text")
+    many = materialize(base.join(repeated, F.col("digest") == F.col("d_digest")).select("id", "digest", "text"), "copies")
     joined = many.join(_winners(many), (F.col("digest") == F.col("w_digest")) & (F.col("text") == F.col("w_text")))
     # rows that repeat id and text become one row with its count, then as many again, the first of them kept
     same = joined.groupBy("id", "keep_id", "group_size", "digest", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
@@ -60,17 +62,18 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    base = _base(docs, id_col, text_col)
-    repeated = _repeated(base)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
-    tagged = rows.join(repeated, F.col("digest") == F.col("d_digest"), "left")
-    alone = tagged.where("d_digest IS NULL").select("row.*")
-    many = tagged.where("d_digest IS NOT NULL").select("row", "digest", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
-    won = _winners(many.select("id", "text", "digest"))
-    kept = many.join(won, (F.col("digest") == F.col("w_digest")) & (F.col("text") == F.col("w_text")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    one = kept.groupBy("w_digest", "w_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return alone.unionByName(one.select("row.*"))
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    key, text = F.col(own[names.index(id_col)]), F.coalesce(F.col(own[names.index(text_col)]), F.lit(""))
+    repeated = _repeated(_base(docs, id_col, text_col))
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)]).withColumn("digest", F.sha2(text, 256))
+    alone = rows.join(repeated, F.col("digest") == F.col("d_digest"), "left_anti").select(*own)
+    many = materialize(rows.join(repeated, F.col("digest") == F.col("d_digest")).drop("d_digest"), "copies")
+    won = _winners(many.select(key.alias("id"), text.alias("text"), "digest"))
+    kept = many.join(won, (F.col("digest") == F.col("w_digest")) & (text == F.col("w_text")) & key.eqNullSafe(F.col("keep_id")))
+    whole = F.struct(*own)
+    one = kept.groupBy("w_digest", "w_text").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return alone.unionByName(one).toDF(*names)
 
 
 SQL = """
