@@ -1,9 +1,9 @@
 """Whole texts to ids with the tokenizers library, each distinct word encoded once per worker.
 
-Both kinds of vocabulary that are handled here split a text at white space before any merge, so where a text has
-only plain single white space, the ids of the text are those of its words in turn. Such words are encoded by the
-library once and kept; a text with anything else (runs of white space, control or unusual code points, strings of
-special tokens) goes to the library whole.
+Both kinds of vocabulary that are handled here split a text at white space, and then by a pattern, before any merge,
+so where a text has only plain single white space, its ids are those of its words in turn, and a word's are those of
+the pattern's parts. Words and parts are kept; a part that is new goes to the library's model. A text with anything
+else (runs of white space, control or unusual code points, strings of special tokens) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import re
 
 import numpy as np
 
-#: Distinct words kept for each worker and vocabulary; about 200 bytes each. When full, it starts again.
+#: Distinct words kept for each worker and vocabulary, and as many parts; about 200 bytes each. When full, it starts again.
 CACHE_WORDS = 800_000
+#: How byte-level vocabularies split a text (a fixed value of their format).
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile("[^ \\n!-~\u00a1-\u00ac\u00ae-\u00ff]|  |\\n\\n| \\n|\\n |^[ \\n]|[ \\n]$|<\\|")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -31,28 +33,44 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        import regex
+
         before, split = json.dumps(spec.get("normalizer") or {}), spec.get("pre_tokenizer") or {}
+        first = (split.get("pretokenizers") or [{}])[0]
         if not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space"):
-            self.kind = "space before word"
-        elif '"Regex": "\\\\s+"' in before and "invert" in json.dumps(split) and "s" in json.dumps(split):
-            self.kind = "space dropped"
+            self.kind, self.pattern = "space before word", regex.compile(BYTE_LEVEL)
+        elif '"Regex": "\\\\s+"' in before and first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed":
+            self.kind, self.pattern = "space dropped", regex.compile(first["pattern"]["Regex"])
         else:
             self.kind = "whole"
         self.kept: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # byte-level models write a byte as a printable code point: its own, or one from 256 on
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.shown = [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> bytes:
+        if part not in self.parts:
+            tokens = self.tokenizer.model.tokenize("".join([self.shown[b] for b in part.encode()]))
+            self.parts[part] = np.array([t.id for t in tokens], self.dtype).tobytes()
+        return self.parts[part]
+
     def _fill(self, words: set[str]) -> None:
         if len(self.kept) + len(words) > CACHE_WORDS:
             self.kept.clear()
-        new = list(words)
-        if self.kind == "space dropped":
-            texts = new
-        else:  # "\r" marks the first word of a text, which has no space before it
-            texts = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in new]
-        for i in range(0, len(new), 2000):
-            self.kept.update(zip(new[i : i + 2000], self._library(texts[i : i + 2000]), strict=True))
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        for w in words:
+            if self.kind == "space dropped":
+                text = w.lower()
+            else:  # "\r" marks the first word of a text, which has no space before it
+                text = w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w
+            parts = self.pattern.findall(text)
+            self.kept[w] = self._part(parts[0]) if len(parts) == 1 else b"".join(map(self._part, parts))
 
     def encode(self, text: str) -> bytes:
         """All ids and the end id, as little-endian integers of ``dtype``."""
