@@ -18,7 +18,7 @@ import numpy as np
 CACHE_WORDS = 800_000
 #: How byte-level vocabularies split a text (a fixed value of their format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PLAIN = re.compile("[^ \\n!-~\u00a1-\u00ac\u00ae-\u00ff]|  |\\n\\n| \\n|\\n |^[ \\n]|[ \\n]$|<\\|")
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]++(?:[ \\n][!-~\u00a1-\u00ac\u00ae-\u00ff]++)*+")
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
@@ -60,8 +60,6 @@ class Encoder:
         return self.parts[part]
 
     def _fill(self, words: set[str]) -> None:
-        if len(self.kept) + len(words) > CACHE_WORDS:
-            self.kept.clear()
         if len(self.parts) > CACHE_WORDS:
             self.parts.clear()
         for w in words:
@@ -74,22 +72,21 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """All ids and the end id, as little-endian integers of ``dtype``."""
-        if self.kind == "whole" or not text or _PLAIN.search(text):
+        if self.kind == "whole" or "<|" in text or not _PLAIN.fullmatch(text):
             return self._library([text])[0] + self.end
         if self.kind == "space dropped":
             words = text.split()
         else:
             words = ("\r" + text).replace("\n", " \n").split(" ")
-        try:
-            return b"".join(map(self.kept.__getitem__, words)) + self.end
-        except KeyError:
-            had = set(words)
-            new = had.difference(self.kept)
+        found = list(map(self.kept.get, words))
+        if None in found:
+            new = {w for w, f in zip(words, found, strict=True) if f is None}
             if len(self.kept) + len(new) > CACHE_WORDS:
                 self.kept.clear()
-                new = had
+                new = set(words)
             self._fill(new)
-            return b"".join(map(self.kept.__getitem__, words)) + self.end
+            found = map(self.kept.__getitem__, words)
+        return b"".join(found) + self.end
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text or ""), self.dtype)
