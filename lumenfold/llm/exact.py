@@ -40,7 +40,8 @@ def _winners(rows: DataFrame) -> DataFrame:
     salted = F.concat_ws("/", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("string"))
     by_salt = rows.groupBy(salted.alias("salted"), "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     by_salt = by_salt.withColumn("w_digest", F.substring_index("salted", "/", 1))
-    return by_salt.groupBy("w_digest", F.col("text").alias("w_text")).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    won = by_salt.groupBy("w_digest", F.col("text").alias("w_text")).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return materialize(won, "winners").hint("merge")  # its own table, so that the join with the copies can split hot ones
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
