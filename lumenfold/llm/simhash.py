@@ -248,7 +248,13 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     A row without an id can't be told from another and stays only where its component has no id at all, once.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__sh_id")).distinct()
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__sh_id")), "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.groupBy(F.col(id_col).alias("__sh_g")).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("s_id")).agg(F.count(F.lit(1)).alias("s_n"))
+    stay = materialize(stay, "representatives").hint("merge")  # grows with the data
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)])
+    key = F.col(own[names.index(id_col)])
+    kept = rows.join(stay, key.eqNullSafe(F.col("s_id")))
+    whole = F.struct(*own)
+    one = kept.where("s_n > 1").groupBy("s_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return kept.where("s_n = 1").select(*own).unionByName(one).toDF(*names)
