@@ -109,7 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """(id, n_tokens, target_loss, background_loss, score) for each row of ``docs``; score is their difference."""
     spark = docs.sparkSession
     ship(spark)
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id")).distinct()
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id")).distinct().hint("merge")  # grows with the data
     flagged = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(good, F.col("d_id") == F.col("l_id"), "left").select("text", F.col("l_id").isNotNull().alias("target"))
     shared = spark.sparkContext.broadcast(models(flagged, word_bits, pair_bits))
 
