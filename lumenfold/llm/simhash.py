@@ -247,7 +247,11 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     A row without an id can't be told from another and stays only where its component has no id at all, once.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    return representatives(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col)
+
+
+def representatives(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id that ``found`` gives them; of repeated rows, one."""
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("s_id")).agg(F.count(F.lit(1)).alias("s_n"))
     stay = materialize(stay, "representatives").hint("merge")  # grows with the data
     names = docs.columns
