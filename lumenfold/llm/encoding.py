@@ -3,7 +3,8 @@
 Both kinds of vocabulary that are handled here split a text at white space, and then by a pattern, before any merge,
 so where a text has only plain single white space, its ids are those of its words in turn, and a word's are those of
 the pattern's parts. Words and parts are kept; a part that is new goes to the library's model. A text with anything
-else (runs of white space, control or unusual code points, strings of special tokens) goes to the library whole.
+else (runs of white space, control or unusual code points, strings of special tokens) goes to the library whole, with
+nothing set but ``add_special_tokens=False``: a special token that a text spells out is that token.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         import regex
@@ -43,6 +43,8 @@ class Encoder:
             self.kind, self.pattern = "space dropped", regex.compile(first["pattern"]["Regex"])
         else:
             self.kind = "whole"
+        if not all("<|" in t["content"] for t in spec.get("added_tokens") or []):
+            self.kind = "whole"  # other special tokens aren't looked for in plain texts
         self.kept: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # byte-level models write a byte as a printable code point: its own, or one from 256 on
