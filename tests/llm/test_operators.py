@@ -305,16 +305,52 @@ def test_html_main_text(spark):
 
 
 def test_wrappers_are_union_free():
-    streams = [html.fold(html.skeleton(page(i, i % 4, i % 3))) for i in range(12)]
-    w = html.infer(streams)
-    text = html.expression(w)
-    assert ")+" in text and ")?" in text and "|" not in text
-    places = html.slots(w)
-    assert {p for p, r in places.items() if r == "article"} == {"html/body/article/h1", "html/body/article/p"}
-    for i in range(12):  # every slot of a page is one of the wrapper's
-        assert set(html.slots(html.skeleton(page(i, i % 4, i % 3)))) <= set(places)
-    other = html.infer([json.loads(json.dumps(html.infer(streams[:5]))), html.infer(streams[5:])])
-    assert html.slots(other) == places
+    streams = [html.tokens(page(i, i % 4, i % 3)) for i in range(12)]
+    w = streams[0]
+    for t in streams[1:]:
+        w = html.align(w, t)
+    text = html.expression(w, 12)
+    assert "(<p> # </p>)+" in text and ")?" in text and "|" not in text
+    halves = [html.tokens(page(i, i % 4, i % 3)) for i in range(12)]
+    left, right = halves[0], halves[5]
+    for t in halves[1:5]:
+        left = html.align(left, t)
+    for t in halves[6:]:
+        right = html.align(right, t)
+    assert html.expression(html.align(left, right), 12) == text  # in a tree as one after another
+
+
+def plain_page(i):
+    """No element has a telling name: what is template shows on the host's pages alone."""
+    links = "".join(f"<div class='z'><a href='/{k}'>go{i}x{k}</a></div>" for k in range(4))
+    body = "".join(f"<p>Words {i} of {k}, told <i>once</i>.</p>" for k in range(1 + i % 4))
+    return f"<html><body><div class='x1'>Get our daily letter</div><div>{links}</div><div class='x2 has-sidebar'><h1>Title {i}</h1>{body}<p>All rights are ours.</p></div></body></html>"
+
+
+def test_only_the_wrapper_tells_template_from_text(spark, monkeypatch):
+    pages = [(i, "https://plain.example/a", plain_page(i)) for i in range(10)]
+    pages += [(20 + i, f"https://lone{i}.example/", "<p>Get our daily letter</p><p>Own text</p>") for i in range(4)]
+    pages += [(30 + i, "https://copies.example/", "<div><p>One text</p><p>in four copies</p></div>") for i in range(4)]
+    pages += [(40 + i, "https://form.example/", f"<form id='aspnet'><div class='search-result'><h1>Found {i}</h1><p>A long text {i} in a form around the page</p></div></form>") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    want = {i: "\n".join([f"Title {i}", *(f"Words {i} of {k}, told once." for k in range(1 + i % 4))]) for i in range(10)}
+    want |= {20 + i: "Get our daily letter\nOwn text" for i in range(4)} | {30 + i: "One text\nin four copies" for i in range(4)}
+    want |= {40 + i: f"Found {i}\nA long text {i} in a form around the page" for i in range(3)}
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)  # the join instead of the broadcast
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+    bare = {i: html.extract(h, {}) for i, _, h in pages}
+    assert all("Get our daily letter" in bare[i] for i in range(10)) and {i for i in bare if bare[i] != want[i]} == {*range(10), 40, 41, 42}
+
+
+def test_names_match_whole_words_and_inline_elements_count():
+    text = lambda inner: html.extract(inner, {})
+    for kept in ("overflow-hidden", "md:block hidden", "content has-sidebar", "search-result", "legal-guide", "header-image"):
+        assert text(f'<div class="{kept}"><p>stays</p></div>') == "stays", kept
+    for gone in ("ad", "site-footer", "ad-slot", "hidden", "main_nav", "cookie-notice"):
+        assert text(f'<div class="{gone}"><p>goes</p></div>') == "", gone
+    assert text('<article data-hidden="false"><p>a <span class="ad">buy</span> b<a class="share">tell</a></p></article>') == "a b"
+    assert text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>y") == "deep\ny"
 
 
 def test_quality(spark, docs, empty):
