@@ -4,13 +4,19 @@ Detected entities: e-mail addresses, phone numbers, IPv4 addresses, payment card
 US social security numbers, secrets (long hexadecimal strings, and values behind a key-like name), and names of
 persons behind a title or beginning with a known given name. Each gets a surrogate made from an HMAC of a secret key,
 the entity's type and its canonical form, so an entity has one surrogate in all documents (coreference), whatever its
-spelling of case or separators. A surrogate keeps type and format: letters stay letters of the same script and case,
-digits digits, separators stay; a card keeps its validity, an address's octets stay valid, an e-mail its last
-domain label, a name its gender and its number of words.
+spelling of case or separators and whatever title stands before it. A surrogate keeps type and format: letters stay
+letters of the same script and case, digits digits, separators stay; a card keeps its validity, an address's octets
+stay valid, an e-mail its last domain label, a name its gender and its number of words.
+
+A name's gender is that of its given name if known, else what its titles say in the whole corpus (where they
+contradict each other, "f"): it goes with the entity, not with the mention.
 
 Distinctness is checked over the whole corpus: entities are collected, and where two share a surrogate, or one is
-a real entity, all but the first take the next attempt, until none is left. Only entities that needed a second
-attempt must be known to rewrite texts; up to ``BROADCAST_RETRIES`` they are broadcast, and beyond that joined by text.
+a real entity, all but the first take the next attempt, until none is left. From the ``WIDEN``-th attempt on a surrogate
+gets longer by one sign for each further attempt (an address of four octets becomes one of eight groups), so that a
+space too small for its entities, such as names of one letter, never runs out. What is checked is what is written:
+entities whose surrogate isn't that of their first attempt and default gender travel to the texts, broadcast up to
+``BROADCAST_RETRIES`` and joined by text beyond.
 
 Defined cases: a null text stays null with 0 entities, an empty one empty; repeated rows are rewritten alike; an
 empty table gives an empty result; other input columns are not read.
@@ -30,12 +36,19 @@ from pyspark.sql import functions as F
 from lumenfold.session import materialize, ship
 
 BROADCAST_RETRIES = 100_000
-MAX_ATTEMPTS = 30
+#: The attempt from which surrogates get longer.
+WIDEN = 3
 
 # Given names by gender and script, and titles by gender.
 GIVEN = {
-    ("f", "LATIN"): "Mary Anna Emma Julia Laura Sarah Alice Clara Elena Sofia Marta Nina Paula Rosa Irene Helen Ruth Eva Lucia Nora".split(),
-    ("m", "LATIN"): "John Paul Peter Martin David Thomas Daniel Mark Hugo Oscar Felix Simon Victor Albert Jonas Marco Luis Henry George Robert".split(),
+    ("f", "LATIN"): (
+        "Mary Anna Emma Julia Laura Sarah Alice Clara Elena Sofia Marta Nina Paula Rosa Irene Helen Ruth Eva Lucia Nora Jennifer Jessica Elizabeth Patricia Linda Susan Karen Nancy Lisa Margaret Sandra Ashley"
+        " Kimberly Emily Michelle Amanda Melissa Rebecca Stephanie Fatima Aisha Maria Olivia Isabella Charlotte Amelia Hannah Katharina Johanna Camille Chloe Giulia Francesca Carmen Pilar"
+    ).split(),
+    ("m", "LATIN"): (
+        "John Paul Peter Martin David Thomas Daniel Mark Hugo Oscar Felix Simon Victor Albert Jonas Marco Luis Henry George Robert James Michael William Richard Joseph Charles Christopher Matthew Anthony Steven"
+        " Andrew Kenneth Kevin Brian Edward Ronald Timothy Jason Mohammed Muhammad Ahmed Ali Omar Carlos Juan Pedro Pierre Jean Hans Klaus Wolfgang Giovanni Luca Matteo"
+    ).split(),
     ("f", "CYRILLIC"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Вера Нина".split(),
     ("m", "CYRILLIC"): "Иван Пётр Павел Андрей Сергей Николай Дмитрий Алексей Михаил Виктор".split(),
     ("f", "GREEK"): "Μαρία Ελένη Άννα Σοφία Κατερίνα".split(),
@@ -61,6 +74,11 @@ _PATTERNS = {
 _CASELESS = {"email", "iban", "name"}
 
 
+def gender_of(name: str) -> str:
+    """f or m if the name begins with a known given name, else empty."""
+    return _BY_NAME.get(name.split()[0].capitalize(), ("",))[0]
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -83,11 +101,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             found.append((a, -b, rank, "secret" if kind == "keyed" else kind, ""))
     for m in _PERSON.finditer(text):
         which = "titled" if m["titled"] else "given"
-        gender = _TITLE_GENDER.get(m["title"] or "", "n")
-        first = m[which].split()[0]
-        if gender == "n" and first in _BY_NAME:
-            gender = _BY_NAME[first][0]
-        found.append((m.start(which), -m.end(which), 99, "name", gender))
+        found.append((m.start(which), -m.end(which), 99, "name", gender_of(m[which]) or _TITLE_GENDER.get(m["title"] or "", "n")))
     out: list[tuple[int, int, str, str]] = []
     for a, b, _, kind, detail in sorted(found):
         if not out or a >= out[-1][1]:
@@ -147,60 +161,66 @@ def _letters(word: str, s: _Stream, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
-def _core(kind: str, detail: str, canon: str, attempt: int, key: bytes) -> str:
-    """The surrogate's canonical form."""
-    s = _Stream(key, f"{kind}\x00{detail}\x00{canon}\x00{attempt}")
+def core(kind: str, gender: str, canon: str, attempt: int, key: bytes) -> str:
+    """The surrogate's canonical form; ``gender`` is the entity's, not a mention's."""
+    s = _Stream(key, f"{kind}\x00{canon}\x00{attempt}")
+    extra = max(0, attempt - WIDEN + 1)
     if kind == "email":
         local, _, domain = canon.partition("@")
         labels = domain.split(".")
         # equal domains stay equal, whoever writes from them
         d = _Stream(key, f"domain\x00{domain}")
-        return _letters(local, s) + "@" + ".".join([*(_letters(x, d) for x in labels[:-1]), labels[-1]])
+        return _letters(local + "e" * extra, s) + "@" + ".".join([*(_letters(x, d) for x in labels[:-1]), labels[-1]])
     if kind == "ip":
+        if extra:
+            return ":".join(["fd00", *(f"{s.below(65536):04x}" for _ in range(7))])
         first = int(canon.split(".")[0])
         return ".".join([str(first if first in (10, 127) else 1 + s.below(223)), *(str(s.below(256)) for _ in range(2)), str(1 + s.below(254))])
     if kind == "card":
-        body = [str(1 + s.below(9)), *(str(s.below(10)) for _ in range(len(canon) - 2))]
+        body = [str(1 + s.below(9)), *(str(s.below(10)) for _ in range(len(canon) - 2 + extra))]
         check = next(d for d in "0123456789" if luhn("".join(body) + d))
         return "".join(body) + (check if luhn(canon) else str((int(check) + 1 + s.below(9)) % 10))
     if kind == "phone":
         plus = canon.startswith("+")
         digits = canon[1:] if plus else canon
         keep = len(digits) - 10 if plus and len(digits) > 10 else 0
-        return "+" * plus + digits[:keep] + "".join(str(1 + s.below(9) if i == 0 else s.below(10)) for i in range(len(digits) - keep))
+        return "+" * plus + digits[:keep] + "".join(str(1 + s.below(9) if i == 0 else s.below(10)) for i in range(len(digits) - keep + extra))
     if kind == "ssn":
-        return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
+        return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}" + "".join(str(s.below(10)) for _ in range(extra))
     if kind == "iban":
-        return canon[:2] + _letters(canon[2:], s).upper()
+        return canon[:2] + _letters(canon[2:] + "0" * extra, s).upper()
     if kind == "secret":
         prefix = m[0] if (m := re.match(r"(?:AKIA|ASIA)|(?:ghp|gho|sk|pk|xox[abp])[-_]", canon)) else ""
         rest = canon[len(prefix) :]
-        out = _letters(rest, s, bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", rest)))
+        hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", rest)) and not rest.isdigit()
+        out = _letters(rest + rest[-1:] * extra, s, hexadecimal)
         return prefix + (out.upper() if rest.isupper() else out)
-    words, given = canon.split(), GIVEN.get((detail if detail != "n" else "fm"[s.below(2)], script(canon[0])))
+    words, given = canon.split(), GIVEN.get((gender if gender != "n" else "fm"[s.below(2)], script(canon[0])))
+    longer = words[-1] + next((c for c in reversed(words[-1]) if c.isalpha()), "a") * extra
     if len(words) > 1 and given:
-        return " ".join([given[s.below(len(given))].lower(), *(_letters(w, s) for w in words[1:])])
-    return " ".join(_letters(w, s) for w in words)
+        return " ".join([given[s.below(len(given))].lower(), *(_letters(w, s) for w in [*words[1:-1], longer])])
+    return " ".join(_letters(w, s) for w in [*words[:-1], longer])
 
 
-def _dress(kind: str, core: str, value: str) -> str:
+def _dress(kind: str, made: str, value: str) -> str:
     """The surrogate in the entity's own format: its separators and case."""
     if kind in ("card", "ssn", "phone", "iban"):
-        chars = iter(core.removeprefix("+"))
-        return "".join(next(chars, "") if c.isalnum() else c for c in value)
+        chars = iter(made.removeprefix("+"))
+        return "".join([*(next(chars, "") if c.isalnum() else c for c in value), *chars])
     if kind == "email" and value.isupper():
-        return core.upper()
+        return made.upper()
     if kind == "name":
-        return " ".join(c.upper() if v.isupper() and len(v) > 1 else c[:1].upper() + c[1:] for c, v in zip(core.split(), value.split(), strict=False))
-    return core
+        return " ".join(c.upper() if v.isupper() and len(v) > 1 else c[:1].upper() + c[1:] for c, v in zip(made.split(), value.split(), strict=False))
+    return made
 
 
-def rewrite(text: str, key: bytes, retries: dict[tuple[str, str], int]) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text with surrogates, and (type, start, end) of each in the new text."""
+def rewrite(text: str, key: bytes, known: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with surrogates, and (type, start, end) of each in the new text; ``known`` tells attempt and gender."""
     out, spans, at, size = [], [], 0, 0
-    for a, b, kind, detail in find(text):
+    for a, b, kind, _ in find(text):
         canon = canonical(kind, text[a:b])
-        new = _dress(kind, _core(kind, detail, canon, retries.get((kind, canon), 0), key), text[a:b])
+        attempt, gender = known.get((kind, canon)) or (0, default_gender(kind, canon))
+        new = _dress(kind, core(kind, gender, canon, attempt, key), text[a:b])
         out += [text[at:a], new]
         size += a - at
         spans.append((kind, size, size + len(new)))
@@ -208,60 +228,74 @@ def rewrite(text: str, key: bytes, retries: dict[tuple[str, str], int]) -> tuple
     return "".join([*out, text[at:]]), spans
 
 
+def default_gender(kind: str, canon: str) -> str:
+    return gender_of(canon) or "n" if kind == "name" else ""
+
+
 def _entities(docs: DataFrame, text_col: str) -> DataFrame:
+    """(kind, canon, gender) of every entity, once."""
+
     def scan(batches):
         for b in batches:
             seen = {(k, canonical(k, t[x:y]), d) for t in b.column(0).to_pylist() if t for x, y, k, d in find(t)}
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*seen, strict=True)], names=["kind", "canon", "detail"])
 
-    # a name's gender is that of its first title in order, so that one person stays one
-    return docs.select(text_col).mapInArrow(scan, "kind string, canon string, detail string").groupBy("kind", "canon").agg(F.min("detail").alias("detail"))
+    found = docs.select(text_col).mapInArrow(scan, "kind string, canon string, detail string")
+    return found.groupBy("kind", "canon").agg(F.min("detail").alias("gender"))  # f before m before n
 
 
 def resolve(docs: DataFrame, key: bytes, *, text_col: str = "text") -> DataFrame:
-    """(kind, canon, detail, attempt) of all entities, so that surrogates are distinct and none is an entity."""
+    """(kind, canon, gender, attempt, made) of all entities, so that surrogates are distinct and none is an entity."""
     ship(docs.sparkSession)
 
     def propose(batches):
         for b in batches:
-            k, c, d, a = (b.column(i).to_pylist() for i in range(4))
-            made = [_core(*x, key) for x in zip(k, d, c, a, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "canon", "detail", "attempt", "made"])
+            k, c, g, a = (b.column(i).to_pylist() for i in range(4))
+            made = [core(*x, key) for x in zip(k, g, c, a, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=["kind", "canon", "gender", "attempt", "made"])
 
     known = materialize(_entities(docs, text_col).withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(MAX_ATTEMPTS):
-        made = materialize(known.mapInArrow(propose, "kind string, canon string, detail string, attempt int, made string"), "surrogates")
+    real = known.select(F.col("kind").alias("r_kind"), F.col("canon").alias("r_canon")).hint("merge")  # grows with the data
+    while True:
+        made = materialize(known.mapInArrow(propose, "kind string, canon string, gender string, attempt int, made string"), "surrogates")
         first = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "canon"))
-        real = known.select(F.col("kind").alias("r_kind"), F.col("canon").alias("r_canon"))
         judged = made.withColumn("place", first).join(real, (F.col("kind") == F.col("r_kind")) & (F.col("made") == F.col("r_canon")), "left")
         again = (F.col("place") > 1) | F.col("r_canon").isNotNull()
-        known = materialize(judged.select("kind", "canon", "detail", (F.col("attempt") + again.cast("int")).alias("attempt"), again.alias("again")), "entities")
-        if not known.where("again").limit(1).count():
-            return known.drop("again")
-        known = known.drop("again")
-    raise RuntimeError("surrogates of some type have too small a space to stay distinct")
+        judged = materialize(judged.select("kind", "canon", "gender", "attempt", "made", again.alias("again")), "entities")
+        if not judged.where("again").limit(1).count():
+            return judged.drop("again")
+        known = judged.select("kind", "canon", "gender", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
 
 
 def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_entities, entities) for each row: the new text, and type and place of each surrogate in it."""
     spark = docs.sparkSession
-    retried = resolve(docs, key, text_col=text_col).where("attempt > 0")
+
+    def differs(batches):
+        """Entities whose surrogate a mention alone doesn't tell."""
+        for b in batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+            told = [i for i, (k, c, g, a) in enumerate(rows) if a or len(c.split()) > 1 and g != default_gender(k, c)]
+            yield b.take(pa.array(told, pa.int64()))
+
+    found = resolve(docs, key, text_col=text_col).select("kind", "canon", "gender", "attempt")
+    told = materialize(found.mapInArrow(differs, "kind string, canon string, gender string, attempt int"), "told-entities")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    small = retried.limit(BROADCAST_RETRIES + 1).count() <= BROADCAST_RETRIES
-    shared = spark.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in retried.collect()} if small else {})
+    small = told.limit(BROADCAST_RETRIES + 1).count() <= BROADCAST_RETRIES
+    shared = spark.sparkContext.broadcast({(r["kind"], r["canon"]): (r["attempt"], r["gender"]) for r in told.collect()} if small else {})
     if not small:
-        rows = _with_retries(rows, retried)
+        rows = _with_told(rows, told)
 
     def scan(batches):
         for b in batches:
             own = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             texts, spans = [], []
             for t, extra in zip(b.column(1).to_pylist(), own, strict=True):
-                retries = shared.value if extra is None else {(e["kind"], e["canon"]): e["attempt"] for e in extra}
-                new, found = (None, []) if t is None else rewrite(t, key, retries)
+                known = shared.value if extra is None else {(e["kind"], e["canon"]): (e["attempt"], e["gender"]) for e in extra}
+                new, at = (None, []) if t is None else rewrite(t, key, known)
                 texts.append(new)
-                spans.append([{"kind": k, "start": x, "end": y} for k, x, y in found])
+                spans.append([{"kind": k, "start": x, "end": y} for k, x, y in at])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             cols = [b.column(0), pa.array(texts, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "text", "n_entities", "entities"])
@@ -271,8 +305,8 @@ def pseudonymize(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_co
     return out.select(F.col("id").alias(id_col), "text", "n_entities", "entities")
 
 
-def _with_retries(rows: DataFrame, retried: DataFrame) -> DataFrame:
-    """``rows`` with the retried entities of their own text, joined by the text's digest."""
+def _with_told(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """``rows`` with the ``told`` entities of their own text, joined by the text's digest."""
 
     def scan(batches):
         for b in batches:
@@ -285,7 +319,7 @@ def _with_retries(rows: DataFrame, retried: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["digest", "kind", "canon"])
 
     uses = rows.select("text").mapInArrow(scan, "digest string, kind string, canon string").distinct()
-    hit = uses.join(retried.select("kind", "canon", "attempt"), ["kind", "canon"])
-    by_text = hit.groupBy("digest").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("retries"))
-    joined = rows.withColumn("t_digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(by_text, F.col("t_digest") == F.col("digest"), "left")
-    return joined.select("id", "text", F.coalesce("retries", F.expr("array()").cast("array<struct<kind:string,canon:string,attempt:int>>")).alias("retries"))
+    hit = uses.join(told, ["kind", "canon"])
+    by_text = hit.groupBy("digest").agg(F.collect_list(F.struct("kind", "canon", "attempt", "gender")).alias("told"))
+    joined = rows.withColumn("t_digest", F.sha2(F.coalesce("text", F.lit("")), 256)).join(by_text.hint("merge"), F.col("t_digest") == F.col("digest"), "left")
+    return joined.select("id", "text", F.coalesce("told", F.expr("array()").cast("array<struct<kind:string,canon:string,attempt:int,gender:string>>")).alias("told"))

@@ -430,26 +430,62 @@ def test_pii_surrogates():
     assert pii.rewrite("Nothing here, 3 of 12.", KEY, {}) == ("Nothing here, 3 of 12.", [])
 
 
-def test_pii_distinct_over_the_corpus(spark, docs, empty, monkeypatch):
-    """A tiny space of surrogates forces collisions; all entities must still get their own, on both ways."""
-    rows = [(i, f"ssn {100 + i:03d}-{10 + i}-{1000 + i} and {100 + i:03d}-{10 + i}-{1000 + i}", "en", "s", 0) for i in range(80)] + [(200, None, None, None, None), (201, "", None, None, 0)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("entities", F.lit(1)).repartition(3)
-    real = pii._core
+def brute_resolve(entities, key=KEY):
+    """{(kind, canon): (attempt, surrogate)}: the first by (attempt, name) keeps a surrogate that is no entity."""
+    attempt = dict.fromkeys(entities, 0)
+    while True:
+        made = {e: (e[0], pii.core(e[0], entities[e], e[1], attempt[e], key)) for e in entities}
+        first = {}
+        for e in sorted(entities, key=lambda e: (attempt[e], e[1])):
+            first.setdefault(made[e], e)
+        again = [e for e in entities if first[made[e]] != e or made[e] in entities]
+        if not again:
+            return {e: (attempt[e], made[e][1]) for e in entities}
+        for e in again:
+            attempt[e] += 1
+
+
+PERSONS = [f"Mr. {chr(65 + i)} said so. Then Dr {chr(65 + i)} left." for i in range(26)]
+PERSONS += ["Mrs. Maria Weber met Dr. Maria Weber. Mr. Maria Weber.", "Ms Jordan Lee came.", "Dr. Jordan Lee went.", "Mr. Robin Hay", "Mrs. Robin Hay", "Jennifer Lopez and Mohammed Ali", 'password: 123456 and password: "dead66beef"']
 
-    def crowded(kind, detail, canon, attempt, key):
-        return f"9{int(real(kind, detail, canon, attempt, key)) % 150:08d}"
 
-    monkeypatch.setattr(pii, "_core", crowded)
-    known = pii.resolve(df, KEY).collect()
-    monkeypatch.undo()
-    if any(r["attempt"] for r in known):  # patched code runs where the workers share it
-        made = [crowded(r["kind"], r["detail"], r["canon"], r["attempt"], KEY) for r in known]
-        assert len(set(made)) == len(made)
+def test_pii_distinct_over_the_corpus(spark, docs, empty, monkeypatch):
+    """Every initial is taken, so second and wider attempts must reach the texts, on both ways."""
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(PERSONS)]
+    rows += [(100 + i, f"ssn {100 + i:03d}-{10 + i}-{1000 + i} and {100 + i:03d}-{10 + i}-{1000 + i}", "en", "s", 0) for i in range(30)] + [(200, None, None, None, None), (201, "", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("entities", F.lit(1)).repartition(3)
+    known = {(r["kind"], r["canon"]): (r["gender"], r["attempt"], r["made"]) for r in pii.resolve(df, KEY).collect()}
+    genders = {e: v[0] for e, v in known.items()}
+    assert {e: v[1:] for e, v in known.items()} == brute_resolve(genders)
+    assert len({(e[0], v[2]) for e, v in known.items()}) == len(known) and not {(e[0], v[2]) for e, v in known.items()} & known.keys()
+    assert genders["name", "maria weber"] == genders["name", "jordan lee"] == genders["name", "robin hay"] == "f"
     plain = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymize(df, KEY).collect()}
     monkeypatch.setattr(pii, "BROADCAST_RETRIES", -1)
     joined = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymize(df, KEY).collect()}
     assert plain == joined and plain[200] == (None, 0) and plain[201] == ("", 0)
-    found = [re.findall(r"\d{3}-\d{2}-\d{4}", plain[i][0]) for i in range(80)]
-    assert all(a == b for a, b in found) and len({a for a, _ in found}) == 80
-    assert not {a for a, _ in found} & {f"{100 + i:03d}-{10 + i}-{1000 + i}" for i in range(80)}
+    initials = [re.fullmatch(r"Mr\. (\w+) said so\. Then Dr (\w+) left\.", plain[i][0]).groups() for i in range(26)]
+    assert all(a == b for a, b in initials) and len({a for a, _ in initials}) == 26
+    assert all(a.lower() == known["name", chr(97 + i)][2] for i, (a, _) in enumerate(initials)) and max(v[1] for v in known.values()) >= pii.WIDEN
+    one = re.fullmatch(r"Mrs\. (.+) met Dr\. (.+)\. Mr\. (.+)\.", plain[26][0]).groups()
+    assert len(set(one)) == 1 and one[0].split()[0] in pii.GIVEN["f", "LATIN"]
+    lee = [plain[27][0].removeprefix("Ms ").removesuffix(" came."), plain[28][0].removeprefix("Dr. ").removesuffix(" went.")]
+    assert lee[0] == lee[1] and lee[0].split()[0] in pii.GIVEN["f", "LATIN"] and plain[29][0][4:] == plain[30][0][5:]
+    assert plain[31][1] == 2 and "Lopez" not in plain[31][0] and "Ali" not in plain[31][0]
+    assert re.fullmatch(r'password: \d{6} and password: "[0-9a-f]{10}"', plain[32][0])
+    found = [re.findall(r"\d{3}-\d{2}-\d{4}", plain[100 + i][0]) for i in range(30)]
+    assert all(a == b for a, b in found) and len({a for a, _ in found}) == 30
     assert pii.pseudonymize(empty, KEY).count() == 0 and pii.pseudonymize(docs, KEY).count() == len(documents())
+
+
+def test_pii_whole_texts_against_brute_force(spark):
+    """The query's texts equal those rewritten one by one with the resolved entities."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    genders = {}
+    for t in texts.values():
+        for a, b, kind, detail in pii.find(t or ""):
+            e = kind, pii.canonical(kind, t[a:b])
+            genders[e] = min(detail, genders.get(e, detail))
+    known = {e: (attempt, genders[e]) for e, (attempt, _) in brute_resolve(genders, queries.SURROGATE_KEY).items()}
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df, queries.SURROGATE_KEY).collect()}
+    assert got == {i: None if t is None else pii.rewrite(t, queries.SURROGATE_KEY, known)[0] for i, t in texts.items()} and len(genders) > 10
