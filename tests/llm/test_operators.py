@@ -261,20 +261,44 @@ def test_top_k(spark):
     vectors = [(i, [float(x) for x in rng.normal(size=20)], i % 3) for i in range(400)]
     vectors += [(400 + i, vectors[0][1], 0) for i in range(30)]  # ties
     vectors += [(500, None, 0), (550, [float("nan")] * 20, 0), (600, [float("inf")] + [0.0] * 19, 0), (650, [None] * 20, 0), (700, [1.0, 2.0], 0), (701, [3.0, 4.0], 0), (None, [1.0] * 20, 0), (750, [], 0), vectors[5], vectors[50]]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(5)
+    vectors += [(800, [1e5] * 20, 0), (801, [-3e38] * 20, 0), (802, [3e38] * 20, 0), (850, [2e6, -1e6] * 10, 0)]  # past 2**53, past a long
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit("clash")).repartition(5)
     got = defaultdict(list)
     for r in sorted(topk.top_k(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
+    long = lambda x: max(-(2**63), min(2**63 - 1, x))
     use = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     for q in {i for i, _ in use if i % 50 == 0}:
         mine = next(v for i, v in use if i == q)
-        scores = sorted(((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in use if i != q and len(v) == len(mine)))[:5]
+        scores = sorted(((-long(sum(a * b for a, b in zip(mine, v, strict=True))), i) for i, v in use if i != q and len(v) == len(mine)))[:5]
         assert got.pop(q, []) == [(i, -s) for s, i in scores]
     assert not got
     none = spark.createDataFrame([], df.schema)
     assert topk.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_in_several_parts_and_without_a_sample(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").repartition(3)
+    order = lambda d: sorted(map(tuple, d.collect()))
+    want = order(topk.top_k(df, F.col("vec_id") % 50 == 0))
+    monkeypatch.setattr(topk, "QUERY_BYTES", 2000)
+    monkeypatch.setattr(topk, "SEED", 3)
+    assert order(topk.top_k(df, F.col("vec_id") % 50 == 0)) == want and len(want) == 50
+
+
+def test_top_k_compacts_before_the_last_block(spark):
+    """Of the candidates that enter the fifth of eight blocks, well under half are left on the driver's table."""
+    rows = [(r["id"], r["v"]) for r in topk.quantized(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding", 256).collect()]
+    ids, vectors = topk._grouped(rows)[64]
+    asked = {64: (ids[ids % 50 == 0], vectors[ids % 50 == 0])}
+    kth, some, passed = topk.first_pass(asked, topk._grouped(rows[: topk.SEED]), 5)[64], topk.Candidates(vectors, ids), np.zeros(9)
+    for own, q, bound in zip(*asked[64], kth, strict=True):
+        some.best(q, int(own), 5, bound, passed)
+    share = passed / passed[0]
+    print("alive by block:", share.round(3))
+    assert share[4] < 0.5 and share[7] < 0.05 and (np.diff(share) <= 0).all()
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T&amp;t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul>{links}</ul></nav><div class="ad">buy</div>'
     '<article><header>by x</header><h1>Head &amp; {n}</h1>{body}<section class="comments"><p>me too</p></section></article><aside>side</aside><footer>&copy; f</footer></body></html>'
