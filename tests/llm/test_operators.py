@@ -404,31 +404,59 @@ def test_small_sites_shrink_more(spark):
     assert 0.1 < got["small"]["path_posterior"] < mean and None in got
 
 
-def test_lm_against_brute_force(spark, docs, empty):
+def follows(words):
+    return [None, *words[:-1]] if words else []
+
+
+def brute_losses(rows, target):
+    """{row number: (words, target loss, background loss)} from counts of words and pairs as they are."""
+    split = [WORD.findall((r[1] or "").lower()) for r in rows]
+    count = {True: (Counter(), Counter()), False: (Counter(), Counter())}
+    for r, words in zip(rows, split, strict=True):
+        context, pair = count[r[0] in target]
+        context.update(follows(words))
+        pair.update(zip(follows(words), words, strict=True))
+    size = {k: sum(len(r[1] or "") for r in rows if (r[0] in target) == k) for k in (True, False)}
+    scale = {k: min(1, size[not k] / size[k]) if all(size.values()) else 1 for k in size}
+    out = {}
+    for i, (r, words) in enumerate(zip(rows, split, strict=True)):
+        own = Counter(follows(words)), Counter(zip(follows(words), words, strict=True))
+        loss = {}
+        for k in (True, False):
+            minus = (r[0] in target) == k
+            c = lambda which, x: (count[k][which][x] - minus * own[which][x]) * scale[k]  # noqa: B023, E731
+            loss[k] = sum(-math.log((c(1, (p, w)) + lm.CONTEXT / lm.VOCABULARY) / (c(0, p) + lm.CONTEXT)) for p, w in zip(follows(words), words, strict=True))
+        out[i] = len(words), loss[True] / max(1, len(words)), loss[False] / max(1, len(words))
+    return out
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_lm_against_brute_force(spark, docs, empty, monkeypatch, shared):
+    """With and without n-grams that are counted apart, over many chunks and blocks; tasks get these sizes by value."""
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
-    got = lm.score(docs, labels, word_bits=12, pair_bits=14).collect()
-    assert len(got) == len(documents())
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(lm, "SAMPLE", 400 if shared else 10**9)
+    clash = docs.withColumn("score", F.lit("x")).withColumn("n_tokens", F.lit("x"))
+    got = lm.score(clash, labels).collect()
     rows = documents()
-    target = {i for i in range(40) if i % 2}
-    models = {}
-    for name, use in (("background", rows), ("target", [r for r in rows if r[0] in target])):
-        m = {"words": np.zeros(1 << 12), "pairs": np.zeros(1 << 14), "docs": 0.0}
-        for r in use:
-            w, p = lm.places(r[1], 12, 14)
-            np.add.at(m["words"], w, 1)
-            np.add.at(m["pairs"], p, 1)
-            m["docs"] += len(w) > 0
-        models[name] = m | {"total": m["words"].sum()}
-    text = {r[0]: r[1] for r in rows}
-    for r in got:
-        w, p = lm.places(text[r["doc_id"]], 12, 14)
-        assert r["n_tokens"] == len(w)
-        if len(w):
-            t, b = (lm.losses(models[k], w, p).mean() for k in ("target", "background"))
-            assert r["target_loss"] == pytest.approx(t, rel=1e-5) and r["score"] == pytest.approx(t - b, rel=1e-4, abs=1e-5)
-        else:
-            assert r["score"] is None
-    assert lm.score(empty, labels, word_bits=12, pair_bits=14).count() == 0
+    want = brute_losses(rows, {i for i in range(40) if i % 2})
+    expected = sorted((r[0] is not None, r[0] or 0, *want[i]) for i, r in enumerate(rows))
+    assert len(got) == len(rows)
+    for g, w in zip(sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["target_loss"] or 0.0, r["background_loss"] or 0.0) for r in got), expected, strict=True):
+        assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-5)
+    assert all((r["score"] is None) == (r["n_tokens"] == 0) and (r["score"] is None or r["score"] == r["target_loss"] - r["background_loss"]) for r in got)
+    assert lm.score(empty, labels).count() == 0
+    assert all(math.isfinite(r["score"]) for r in lm.score(docs, labels.where("quality = 7")).collect() if r["n_tokens"])
+
+
+def test_lm_packs_and_unpacks():
+    rng = np.random.default_rng(1)
+    gram = np.sort(rng.integers(0, 2**63, 50, dtype=np.uint64).repeat(rng.integers(1, 4, 50)))
+    doc, own = rng.integers(0, 60_000, len(gram)), rng.integers(1, 9, len(gram))
+    for count in (own, own * 100_000):
+        back = lm.unpack(lm.pack(gram, doc, count))
+        assert [x.tolist() for x in back] == [gram.tolist(), doc.tolist(), count.tolist()]
+    assert lm.grams("a b a b")[1].tolist() == np.unique(lm.grams("A b\ta  b")[1]).tolist() and lm.grams(" ")[0] == 0
 
 
 KEY = b"test"
