@@ -42,7 +42,7 @@ from lumenfold.session import materialize, ship
 CONTEXT, VOCABULARY = 50.0, 2.0**20
 SAMPLE, COMMON = 2000, 0.01
 #: Characters of text to a block of n-grams; n-grams and documents to a chunk.
-BLOCK_CHARS, CHUNK_GRAMS, CHUNK_DOCS = 12_000_000, 1_500_000, 60_000
+BLOCK_CHARS, CHUNK_GRAMS, CHUNK_DOCS = 6_000_000, 1_500_000, 60_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _KEPT: dict[bytes, int] = {}
 _ODD = np.uint64(1)
@@ -129,7 +129,8 @@ def _chunks(flagged: DataFrame, common: np.ndarray, blocks: int) -> DataFrame:
             at = np.minimum(np.searchsorted(common, every), max(0, len(common) - 1))
             hot = common[at] == every if len(common) else np.zeros(len(every), bool)
             n, t = (np.bincount(at[m], own[m], len(common)).astype(np.int64) for m in (hot, hot & target[doc]))
-            kept = b"".join((struct.pack("<I", int(hot.sum())), at[hot].astype("<u4").tobytes(), doc[hot].astype("<u2").tobytes(), own[hot].astype("<u4").tobytes()))
+            order = np.flatnonzero(hot)[np.argsort(at[hot], kind="stable")]
+            kept = pack(at[order].astype(np.uint64), doc[order], own[order]) if len(order) else b""
             sizes = np.array([d[1] for d in docs], "<u4").tobytes()
             ids = pa.array([d[0] for d in docs], id_type)
             yield -1 - chunk, chunk, sizes + target.tobytes() + kept, n.tobytes() + t.tobytes(), pa.RecordBatch.from_arrays([ids], names=["id"])
@@ -214,12 +215,11 @@ def _finish(batches, common: tuple, scales: tuple[float, float], names: list[str
         ids = pa.ipc.open_stream(head[4]).read_next_batch().column(0)
         n, size = len(ids), np.frombuffer(head[2], "<u4", len(ids)).astype(np.int64)
         target = np.frombuffer(head[2], bool, n, 4 * n)
-        hot = struct.unpack_from("<I", head[2], 5 * n)[0]
-        at = np.frombuffer(head[2], "<u4", hot, 5 * n + 4)
-        doc = np.frombuffer(head[2], "<u2", hot, 5 * n + 4 + 4 * hot)
-        own = np.frombuffer(head[2], "<u4", hot, 5 * n + 4 + 6 * hot).astype(np.int64)
-        gram, count, t = common
-        lost = [np.bincount(doc, x, n) for x in losses(gram[at], own, target[doc], count[at], t[at], scales)] if hot else [np.zeros(n), np.zeros(n)]
+        lost, (gram, count, t) = [np.zeros(n), np.zeros(n)], common
+        if len(head[2]) > 5 * n:
+            at, doc, own = unpack(head[2][5 * n :])
+            at = at.astype(np.int64)
+            lost = [np.bincount(doc, x, n) for x in losses(gram[at], own.astype(np.int64), target[doc], count[at], t[at], scales)]
         for r in rows[1:]:
             k = len(r[2]) // 10
             has = _from_planes(r[2], "<u2", k)
