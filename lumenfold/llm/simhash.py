@@ -7,8 +7,9 @@ distance: fingerprints go inside or outside by their Hamming distance to it, and
 sides only if |distance - boundary| allows it by the triangle inequality. Where all of a node's halves are equal, the
 node measures the whole fingerprint with the whole radius instead. The upper tree is made from a bounded sample
 (``SAMPLE`` distinct fingerprints) and cuts the data into shards; each fingerprint lives in one shard of each tree
-and also queries the shards that its radius overlaps; within a shard the same kind of tree goes on down to small
-leaves, which are compared pair by pair. A shard returns a spanning forest of its links, not all pairs, so a group
+and also queries the shards that its radius overlaps. A shard that still holds over ``LARGE`` rows is cut again, by a
+tree from a sample of its own, as often as that helps, so the number of shards follows the data; within a shard the
+same kind of tree goes on down to small leaves, which are compared pair by pair. A shard returns a spanning forest of its links, not all pairs, so a group
 of n near copies gives less than n edges a shard. Components come from alternating large-star and small-star steps.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; fewer
@@ -18,6 +19,7 @@ component's smallest unless all are null); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -31,7 +33,10 @@ from lumenfold.session import materialize, ship
 SAMPLE = 16_384
 #: Fingerprints wanted in a shard.
 SHARD = 2048
+#: Rows above which a shard is cut again.
+LARGE = 8192
 LEAF = 48
+BROADCAST_IDS = 1_000_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,10 +124,10 @@ def build(sample: np.ndarray, half: int, want: int, radius: int) -> list:
     return nodes
 
 
-def route(nodes: list, fps: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, positions that live there, positions that only query it)."""
+def route(nodes: list, fps: np.ndarray, lives: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, positions that live there, positions that only query it); where ``lives`` is false they only query."""
     out = []
-    stack = [(0, np.arange(len(fps)), np.arange(0))]
+    stack = [(0, np.arange(len(fps)), np.arange(0)) if lives is None else (0, np.flatnonzero(lives), np.flatnonzero(~lives))]
     while stack:
         at, home, guest = stack.pop()
         if not len(home) and not len(guest):
@@ -175,6 +180,67 @@ def _forest(n: int, pairs) -> np.ndarray:
     return root
 
 
+DEALT = "half int, shard long, was long, home boolean, fp long"
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    """(half, shard, was, home, fp) of (half, shard, was, fingerprints that live there, that only query it)."""
+    parts = []
+    for half, shard, was, home, guest in rows:
+        n = len(home) + len(guest)
+        lives = np.concatenate([np.ones(len(home), bool), np.zeros(len(guest), bool)])
+        parts.append((np.full(n, half, np.int32), np.full(n, shard, np.int64), np.full(n, was, np.int64), lives, np.concatenate([home, guest]).view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["half", "shard", "was", "home", "fp"])
+
+
+def _cut_again(dealt: DataFrame, radius: int) -> DataFrame | None:
+    """``dealt`` with its large shards cut by trees of their own; None if there are none. A shard that its last cut
+    has left with over seven tenths of the rows that it ``was`` part of lies too close together for more, and stays."""
+    size = dealt.groupBy("half", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("homes"), F.min("was").alias("was"))
+    size = materialize(size.where((F.col("n") > LARGE) & (F.col("n") * 10 < F.col("was") * 7)).drop("was"), "large-shards")
+    if not size.limit(1).count():
+        return None
+    both = ["half", "shard"]
+    rows = dealt.drop("was").join(size.where("homes > 0"), both)  # without one that lives there it has no pair
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) * F.col("homes") < F.lit(SAMPLE // 2 << 30)
+    wanted = SHARD
+
+    def grow(table: pa.Table) -> pa.Table:
+        fps = np.sort(table.column("fp").to_numpy()).view(np.uint64)
+        half, shard, homes = (table.column(c)[0].as_py() for c in ("half", "shard", "homes"))
+        nodes = build(fps, half, max(4, wanted * len(fps) // max(1, homes)), radius)
+        return pa.table({"half": pa.array([half], pa.int32()), "shard": [shard], "tree": [pickle.dumps(nodes)]})
+
+    trees = rows.where(F.col("home") & share).groupBy(*both).applyInArrow(grow, "half int, shard long, tree binary")
+
+    def deal(batches):
+        """A tree comes first, then its shard's rows."""
+        at, nodes = None, []
+        for b in batches:
+            half, shard, home, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            was = b.column(5).to_numpy()
+            cuts = np.flatnonzero(np.diff(shard) | np.diff(half)) + 1
+            for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                if e > s and at != (half[s], shard[s]):
+                    at, nodes = (half[s], shard[s]), pickle.loads(b.column(4)[int(s)].as_py())
+                    s += 1
+                if e <= s:
+                    continue
+                fps, lives = fp[s:e].view(np.uint64), home[s:e]
+                out = []
+                for leaf, inside, outside in route(nodes, fps, lives):
+                    new = int(at[1]) if len(nodes) == 1 else (int(at[1]) * 1_000_003 + leaf + 1) * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF
+                    out.append((at[0], new, was[s], fps[inside], fps[outside]))
+                if out:
+                    yield _dealt(out)
+
+    data = rows.select("half", "shard", "home", "fp", F.lit(None).cast("binary").alias("tree"), "n")
+    first = trees.select("half", "shard", F.lit(False).alias("home"), F.lit(0).cast("long").alias("fp"), "tree", F.lit(0).cast("long").alias("n"))
+    sent = data.unionByName(first).repartition("half", "shard").sortWithinPartitions("half", "shard", F.col("tree").isNull())
+    small = dealt.join(size.select(*both), both, "left_anti").select(*dealt.columns)
+    return materialize(small.unionByName(sent.mapInArrow(deal, DEALT)), "dealt")
+
+
 def near_edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp``, enough to connect all within ``radius`` bits."""
     spark = distinct.sparkSession
@@ -186,27 +252,24 @@ def near_edges(distinct: DataFrame, radius: int = 3) -> DataFrame:
     def deal(batches):
         for b in batches:
             fps = b.column(0).to_numpy().view(np.uint64)
-            rows: tuple[list, ...] = ([], [], [])
-            for half, nodes in enumerate(shared.value):
-                for shard, home, guest in route(nodes, fps):
-                    rows[0].append(np.full(len(home) + len(guest), 2 * shard + half, np.int32))
-                    rows[1].append(np.concatenate([np.ones(len(home), bool), np.zeros(len(guest), bool)]))
-                    rows[2].append(fps[np.concatenate([home, guest])].view(np.int64))
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["shard", "home", "fp"])
+            found = [(half, shard, 1 << 58, fps[home], fps[guest]) for half, nodes in enumerate(shared.value) for shard, home, guest in route(nodes, fps)]
+            if found:
+                yield _dealt(found)
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
         order = np.concatenate([np.flatnonzero(home), np.flatnonzero(~home)])
         n = int(home.sum())
-        root = _forest(len(fps), links(fps[order[:n]], fps[order[n:]], key[0].as_py() % 2, radius))
+        root = _forest(len(fps), links(fps[order[:n]], fps[order[n:]], key[0].as_py(), radius))
         tied = np.flatnonzero(root != np.arange(len(root)))
         back = fps[order].view(np.int64)
         return pa.table({"a": back[tied], "b": back[root[tied]]})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, home boolean, fp long")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = materialize(distinct.select("fp").mapInArrow(deal, DEALT), "dealt")
+    while (again := _cut_again(dealt, radius)) is not None:
+        dealt = again
+    return dealt.groupBy("half", "shard").applyInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -251,14 +314,20 @@ def survivors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def representatives(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is the component_id that ``found`` gives them; of repeated rows, one."""
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("s_id")).agg(F.count(F.lit(1)).alias("s_n"))
-    stay = materialize(stay, "representatives").hint("merge")  # grows with the data
+    """The rows of ``docs`` whose id is the component_id that ``found`` gives them; of repeated rows, one.
+
+    Ids that don't stay as they are (dropped, repeated or null) are told by broadcast up to ``BROADCAST_IDS``, so that
+    rows needn't move, and by shuffle beyond."""
+    one = F.col(id_col).eqNullSafe(F.col("component_id"))
+    by_id = found.groupBy(F.col(id_col).alias("o_id")).agg(F.count(F.lit(1)).alias("n"), F.max(one).alias("stays"))
+    others = materialize(by_id.where((F.col("n") > 1) | ~F.col("stays") | F.col("o_id").isNull()), "other-ids")
+    small = others.count() <= BROADCAST_IDS
     names = docs.columns
     own = [f"c{i}" for i in range(len(names))]
     rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)])
     key = F.col(own[names.index(id_col)])
-    kept = rows.join(stay, key.eqNullSafe(F.col("s_id")))
+    told = lambda df: F.broadcast(df) if small else df.hint("merge")
+    alone = rows.join(told(others.select("o_id")), key.eqNullSafe(F.col("o_id")), "left_anti")
     whole = F.struct(*own)
-    one = kept.where("s_n > 1").groupBy("s_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
-    return kept.where("s_n = 1").select(*own).unionByName(one).toDF(*names)
+    again = rows.join(told(others.where("stays").select("o_id")), key.eqNullSafe(F.col("o_id"))).groupBy("o_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return alone.unionByName(again.select("row.*")).toDF(*names)

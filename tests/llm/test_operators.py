@@ -170,6 +170,28 @@ def test_vantage_trees_lose_no_link(spark, monkeypatch, seed):
     assert shards > 8 and len(fps) < visited < shards * len(fps) / 2
 
 
+def test_large_shards_are_cut_again(spark, monkeypatch):
+    """Trees of two levels and more give the same components and bounded shards; a dense cluster ends too."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 12_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 12_000, dtype=np.uint64)
+    near = base[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))
+    dense = [base[0] ^ np.uint64((1 << int(i)) | (1 << int(j))) for i, j in itertools.combinations(range(40), 2)]
+    fps = np.unique(np.array([*base, *near, *dense], np.uint64))
+    df = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long").repartition(4)
+    roots = lambda: {r["node"]: r["root"] for r in simhash.components(simhash.near_edges(df)).collect()}
+    want = roots()
+    monkeypatch.setattr(simhash, "SAMPLE", 256)
+    monkeypatch.setattr(simhash, "SHARD", 128)
+    monkeypatch.setattr(simhash, "LARGE", 1024)
+    seen, cut = [], simhash._cut_again
+    monkeypatch.setattr(simhash, "_cut_again", lambda dealt, radius: (seen.append(dealt), cut(dealt, radius))[1])
+    assert roots() == want and len(want) >= 1000
+    largest = [d.groupBy("half", "shard").count().agg(F.max("count")).first()[0] for d in seen]
+    copies = seen[-1].count() / len(fps)
+    print("largest shards:", largest, "copies of a fingerprint:", copies)
+    assert len(seen) > 1 and largest[-1] < 2 * 1024 < largest[0] and copies < 60
+
+
 def test_fast_encoding_equals_the_library():
     for path in (BYTE, WORDS):
         enc = Encoder(path, 0)
