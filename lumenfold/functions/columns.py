@@ -59,16 +59,14 @@ def instrument(creator: Column, instrume: Column) -> Column:
     """The instrument's label: known creators first, then the instrument's own name, then the creator's."""
     kept = lambda c: F.nullif(F.trim(c), F.lit(""))
     made, own = F.upper(F.coalesce(creator, F.lit(""))), F.upper(F.coalesce(instrume, F.lit("")))
-    out = F.coalesce(kept(instrume), kept(creator))
-    # creators' marks and labels; the first that fits is taken.
-    for found, label in (
-        (own.contains("ASI"), F.coalesce(kept(instrume), F.lit("ASI (Unknown)"))),
-        (made.contains("ASIAIR"), F.coalesce(kept(instrume), F.lit("ASIAIR"))),
-        (made.contains("SEESTAR S30"), F.lit("Seestar S30")),
-        (made.contains("SEESTAR S50"), F.lit("Seestar S50")),
-    ):
-        out = F.when(found, label).otherwise(out)
-    return out
+    # creators' marks and labels, in the order in which they apply.
+    return (
+        F.when(made.contains("SEESTAR S50"), "Seestar S50")
+        .when(made.contains("SEESTAR S30"), "Seestar S30")
+        .when(made.contains("ASIAIR"), F.coalesce(kept(instrume), F.lit("ASIAIR")))
+        .when(own.contains("ASI"), F.coalesce(kept(instrume), F.lit("ASI (Unknown)")))
+        .otherwise(F.coalesce(kept(instrume), kept(creator)))
+    )
 
 
 def sexagesimal(text: Column, is_ra: bool) -> Column:

@@ -19,6 +19,8 @@ from lumenfold.plans.spatial import BOXES_SQL, CELL, ITEMS_SQL, PAIRS_SQL, boxes
 from lumenfold.session import ship, table
 
 QUERIES, SQL, query = registry()
+#: Rows that smoothing looks back.
+MEMORY = 110
 K = ["pixel"]
 
 
@@ -301,20 +303,22 @@ def footprint_budget(spark, d):
     return n.select("size", F.when(F.col("size") <= 200, F.col("size")).when(F.col("size") <= 1000, 200).otherwise(100).cast("long").alias("budget"))
 
 
-@query(_with(MODES_SQL) + " SELECT label, CASE WHEN count(*) FILTER (mode = 'UNKNOWN') = 0 AND count(DISTINCT mode) > 1 THEN 'split' ELSE 'whole' END AS run, count(DISTINCT mode) AS modes FROM g WHERE id % 5 < 3 GROUP BY label")
+@query(_with(MODES_SQL) + " SELECT label, CASE WHEN count(*) FILTER (mode = 'UNKNOWN') = 0 AND count(DISTINCT mode) > 1 THEN 'split' ELSE 'whole' END AS run, count(DISTINCT mode) AS modes FROM g GROUP BY label")
 def mount_run_split(spark, d):
-    """Separate outputs only where every frame's mount is known and both occur; frames without one are left aside here."""
-    g = grouped(spark, d).where("mode <> 'UNKNOWN'")
+    """Separate outputs only where every frame's mount is known and both occur."""
+    g = grouped(spark, d)
     both = (F.count(F.when(F.col("mode") == "UNKNOWN", 1)) == 0) & (F.count_distinct("mode") > 1)
     return g.groupBy("label").agg(F.when(both, "split").otherwise("whole").alias("run"), F.count_distinct("mode").alias("modes"))
 
 
-@query("SELECT event_type, event_id, round(0.3 * value + 0.7 * coalesce(lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), value), 6) AS smoothed FROM events")
+@query("SELECT event_type, event_id, round(list_reduce(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), lambda s, x: 0.7 * s + 0.3 * x), 6) AS smoothed FROM events")
 def eta_smoothing(spark, d):
-    """One step of exponential smoothing against the estimate before."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    v = F.col("value")
-    return rounded(table(spark, d, "events").select("event_type", "event_id", (0.3 * v + 0.7 * F.coalesce(F.lag(v).over(w), v)).alias("smoothed")))
+    """Exponential smoothing as a fold over what came before. A value counts 0.7 ** k after k others, so the fold begins
+    ``MEMORY`` rows back, where it is below the rounding of a double."""
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-MEMORY, 0)
+    v = F.collect_list("value").over(w)
+    folded = F.aggregate(F.slice(v, 2, MEMORY), v[0], lambda s, x: 0.7 * s + 0.3 * x)
+    return rounded(table(spark, d, "events").select("event_type", "event_id", folded.alias("smoothed")))
 
 
 @query("SELECT page_id FROM pages WHERE page_id % 3 <> 0 OR md5(url) > '8'")

@@ -26,6 +26,18 @@ def stream(spark, d):
     return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def stream_in_time(spark, d, parts: int = 4):
+    """The events as a stream that delivers them in order of time: one file after another."""
+    source = events(spark, d)
+    path = new_path(spark, "events-in-time")
+    cuts = source.selectExpr(f"percentile_approx(unix_micros(ts), array({', '.join(str(k / parts) for k in range(1, parts))})) AS c").first()["c"] or []
+    at = F.unix_micros("ts")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = source.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drained(spark, df, mode: str, keys: list[str] | None = None):
     """All that a stream puts out, from a sink in the shared folder; in update mode, the last row of each key."""
     name = uuid.uuid4().hex
@@ -89,9 +101,13 @@ def eta_seconds(spark, d):
     return rounded(events(spark, d).select("event_id", S.eta(done, F.lit(1000), F.col("value")).alias("eta")))
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE r AS (SELECT event_type, min(ts) AS ts FROM events GROUP BY event_type UNION ALL SELECT r.event_type, min(e.ts) FROM r JOIN events e ON e.event_type = r.event_type AND e.ts >= r.ts + INTERVAL 1 HOUR GROUP BY r.event_type)"
+    " SELECT event_type, min(event_id) AS event_id, ts, arg_min(value, event_id) AS value FROM r JOIN events USING (event_type, ts) GROUP BY event_type, ts"
+)
 def throttle_sample(spark, d):
     """Events of a type at least an hour after the last one put out."""
     ship(spark)
-    s = stream(spark, d).select("event_type", "event_id", "ts", "value")
-    return drained(spark, S.throttle(s, ["event_type"], 3600.0, "event_type string, event_id long, ts timestamp, value double"), "append")
+    s = stream_in_time(spark, d).select("event_type", "event_id", "ts", "value")
+    out = drained(spark, S.throttle(s, ["event_type"], 3600.0, "event_type string, event_id long, ts timestamp, value double", tie="event_id"), "append")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

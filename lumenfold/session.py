@@ -34,8 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a new one on a local
+    session, and an error on a cluster, whose machines have no such folder in common."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not where:
         own = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -9,24 +9,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def throttle(df: DataFrame, keys: list[str], interval: float, schema: str) -> DataFrame:
-    """Rows at least ``interval`` seconds after the last *emitted* one of their key (a stream or a table), in order of ``ts``.
-    The only state is the last emitted time."""
+def throttle(df: DataFrame, keys: list[str], interval: float, schema: str, tie: str | None = None) -> DataFrame:
+    """Rows at least ``interval`` seconds (0.5 at least) after the last *emitted* one of their key, in order of ``ts`` and
+    then ``tie``. The only state is the last emitted time, so a source must deliver batches in order of time, as events come;
+    a row that comes after a later one was emitted is late and goes."""
 
     def emit(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for f in frames:
-            f = f.sort_values("ts", kind="stable")
-            keep = []
-            for t in f["ts"].astype("int64") / (1e9 if str(f["ts"].dtype).startswith("datetime64[ns") else 1e6):
-                hit = last is None or t - last >= max(0.5, interval)
-                keep.append(hit)
-                last = t if hit else last
-            yield f[keep]
+        rows = pd.concat(list(frames)).sort_values(["ts", tie] if tie else ["ts"], kind="stable")  # one batch of one key
+        keep = []
+        for t in rows["ts"].astype("datetime64[us]").astype("int64"):
+            hit = last is None or t - last >= max(0.5, interval) * 1e6
+            keep.append(hit)
+            last = int(t) if hit else last
         if last is not None:
             state.update((last,))
+        yield rows[keep]
 
-    return df.groupBy(*keys).applyInPandasWithState(emit, schema, "last double", "append", "NoTimeout")
+    return df.groupBy(*keys).applyInPandasWithState(emit, schema, "last long", "append", "NoTimeout")
 
 
 def eta(done: Column, total: Column, elapsed: Column) -> Column:
