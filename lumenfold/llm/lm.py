@@ -41,8 +41,10 @@ from lumenfold.session import materialize, ship
 #: Pseudo-counts behind a context, and the nominal number of words that they are dealt over.
 CONTEXT, VOCABULARY = 50.0, 2.0**20
 SAMPLE, COMMON = 2000, 0.01
+#: Ids of target documents (8 bytes each) up to which they are broadcast; beyond, texts are shuffled to meet them.
+BROADCAST_TARGET = 8_000_000
 #: Characters of text to a block of n-grams; n-grams and documents to a chunk.
-BLOCK_CHARS, CHUNK_GRAMS, CHUNK_DOCS = 6_000_000, 1_500_000, 60_000
+BLOCK_CHARS, CHUNK_GRAMS, CHUNK_DOCS = 6_000_000, 1_000_000, 60_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _KEPT: dict[bytes, int] = {}
 _ODD = np.uint64(1)
@@ -261,7 +263,8 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """(id, n_tokens, target_loss, background_loss, score) for each row of ``docs``; score is their difference."""
     spark = docs.sparkSession
     ship(spark)
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id")).distinct().hint("merge")  # grows with the data
+    good = materialize(labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id")).distinct(), "target-ids")
+    good = F.broadcast(good) if good.count() <= BROADCAST_TARGET else good.hint("merge")
     target = F.col("l_id").isNotNull().alias("target")
     sizes = docs.select(F.col(id_col).alias("d_id"), F.length(text_col).alias("size")).join(good, F.col("d_id") == F.col("l_id"), "left").groupBy(target).agg(F.sum("size").alias("size")).collect()
     size = {r["target"]: r["size"] or 0 for r in sizes}

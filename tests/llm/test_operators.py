@@ -458,6 +458,7 @@ def test_lm_against_brute_force(spark, docs, empty, monkeypatch, shared):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     monkeypatch.setattr(lm, "BLOCK_CHARS", 3000)
     monkeypatch.setattr(lm, "SAMPLE", 400 if shared else 10**9)
+    monkeypatch.setattr(lm, "BROADCAST_TARGET", 10**6 if shared else -1)
     clash = docs.withColumn("score", F.lit("x")).withColumn("n_tokens", F.lit("x"))
     got = lm.score(clash, labels).collect()
     rows = documents()
