@@ -41,8 +41,8 @@ from lumenfold.session import materialize, ship
 #: Pseudo-counts behind a context, and the nominal number of words that they are dealt over.
 CONTEXT, VOCABULARY = 50.0, 2.0**20
 SAMPLE, COMMON = 2000, 0.01
-#: Ids of target documents (8 bytes each) up to which they are broadcast; beyond, texts are shuffled to meet them.
-BROADCAST_TARGET = 8_000_000
+#: Ids of target documents (some 90 bytes each in Spark) up to which they are broadcast; beyond, texts are shuffled to meet them.
+BROADCAST_TARGET = 2_000_000
 #: Characters of text to a block of n-grams; n-grams and documents to a chunk.
 BLOCK_CHARS, CHUNK_GRAMS, CHUNK_DOCS = 6_000_000, 1_000_000, 60_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
