@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.encoding import encoder
+from lumenfold.llm.encoding import encoder, give_back
 from lumenfold.session import materialize, ship
 
 BUCKETS = 1024
@@ -117,6 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, *, id_col: str =
                         col.append(v)
             kinds = (b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=[id_col, "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
