@@ -22,7 +22,7 @@ CACHE_WORDS = 800_000
 #: How byte-level vocabularies split a text (a fixed value of their format).
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]++(?:[ \\n][!-~\u00a1-\u00ac\u00ae-\u00ff]++)*+")
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
 def give_back() -> None:
@@ -35,7 +35,8 @@ def give_back() -> None:
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,7 +74,7 @@ class Encoder:
         return self.parts[part]
 
     def _fill(self, words: set[str]) -> None:
-        if len(self.parts) > CACHE_WORDS:
+        if len(self.parts) > self.cache_words:
             self.parts.clear()
             give_back()
         for w in words:
@@ -95,7 +96,7 @@ class Encoder:
         found = list(map(self.kept.get, words))
         if None in found:
             new = {w for w, f in zip(words, found, strict=True) if f is None}
-            if len(self.kept) + len(new) > CACHE_WORDS:
+            if len(self.kept) + len(new) > self.cache_words:
                 self.kept.clear()
                 give_back()
                 new = set(words)
@@ -107,7 +108,8 @@ class Encoder:
         return np.frombuffer(self.encode(text or ""), self.dtype)
 
 
-def encoder(path: str, end_id: int = 0) -> Encoder:
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+def encoder(path: str, end_id: int = 0, cache_words: int = CACHE_WORDS) -> Encoder:
+    key = (path, end_id, cache_words)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]

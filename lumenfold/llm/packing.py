@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.encoding import encoder, give_back
+from lumenfold.llm.encoding import CACHE_WORDS, encoder, give_back
 from lumenfold.session import materialize, ship
 
 BUCKETS = 1024
@@ -100,12 +100,12 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids cut at every ``capacity``."""
     ship(docs.sparkSession)
 
     def cut(batches):
-        enc = encoder(tokenizer_path, end_id)
+        enc = encoder(tokenizer_path, end_id, cache_words)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -123,10 +123,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, *, id_col: str =
     return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """The pieces with ``sequence_id`` and ``offset``: the offsets of a sequence's pieces have no gaps from 0."""
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """The pieces with ``sequence_id`` and ``offset``: the offsets of a sequence's pieces have no gaps from 0. Workers
+    keep the ids of at most ``cache_words`` words, and stay: fewer cost CPU time and leave memory to other stages."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, capacity, id_col=id_col, text_col=text_col, end_id=end_id), "pieces")
+    cut = materialize(pieces(docs, tokenizer_path, capacity, id_col=id_col, text_col=text_col, end_id=end_id, cache_words=cache_words), "pieces")
     keyed = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     cells = materialize(keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
