@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +70,108 @@ def relax(fits: DataFrame, nodes: DataFrame, rounds: int = 8, damping: float = 0
             "relax",
         )
     return state.drop("ref")
+
+
+def bridges(nodes: DataFrame, kept: DataFrame, raw: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(i, j) of the raw edges that join the components of the kept ones into as few as can be, heaviest first, ties to the
+    lower (i, j): each round every component takes its best edge to another, and what is thus joined is one component
+    from then on (so they at least halve). Edges are reduced to the best of each pair of components before each round."""
+    better = F.struct((-F.col("w")).alias("nw"), "i", "j")
+
+    def joined(edges: DataFrame, comp: DataFrame) -> DataFrame:
+        side = lambda at: comp.select(F.col("id").alias(at), F.col("component").alias("c" + at))
+        cross = edges.join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
+        return materialize(cross.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.min("e").alias("e")), "cross-edges")
+
+    cross = joined(raw.select(F.col("i").alias("a"), F.col("j").alias("b"), better.alias("e")), components(nodes, kept))
+    found = []
+    for _ in range(max_rounds):
+        ends = cross.select(F.explode(F.array("a", "b")).alias("c"), F.struct("e", "a", "b").alias("best"))
+        picked = materialize(ends.groupBy("c").agg(F.min("best").alias("best")).select("best.*").distinct(), "bridges")
+        found.append(picked.select("e.i", "e.j"))
+        if picked.isEmpty():
+            return reduce(DataFrame.union, found)
+        ids = picked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        cross = joined(cross, components(ids, picked.select(F.col("a").alias("i"), F.col("b").alias("j"))))
+    raise RuntimeError(f"components left after {max_rounds} rounds")
+
+
+def least_squares(equations: DataFrame, *, dense: int = 1500, tolerance: float = 1e-10, max_rounds: int = 1000) -> DataFrame:
+    """(u, x) that minimise the sum of w * (sum of c * x_u - y)^2 over equations (terms array of (u, c), y, w).
+
+    Normal equations are summed by pair of unknowns and scaled to a diagonal of ones; where they leave a choice, the
+    scaled solution of the least norm is taken. Up to ``dense`` unknowns (their matrix is 18 MB) the driver solves them; beyond,
+    conjugate gradients do, of which a round is one join, one aggregation and four numbers for the driver, until the
+    residual is ``tolerance`` of the right side."""
+    spark = equations.sparkSession
+    e = equations.select("w", "y", F.col("terms").alias("o"), F.explode("terms").alias("t"))
+    u = F.col("t.u").alias("u")
+    right = e.groupBy(u).agg(F.sum(F.col("w") * F.col("y") * F.col("t.c")).alias("b"))
+    both = e.select("w", "t", F.explode("o").alias("o"))
+    normal = materialize(both.groupBy(u, F.col("o.u").alias("v")).agg(F.sum(F.col("w") * F.col("t.c") * F.col("o.c")).alias("c")), "normal")
+    scale = normal.where("u = v and c > 0").select("u", (1 / F.sqrt("c")).alias("s"))
+    right = materialize(right.join(scale, "u").select("u", "s", (F.col("b") * F.col("s")).alias("b")), "right")
+    other = right.select(F.col("u").alias("v"), F.col("s").alias("sv"))
+    scaled = normal.join(right.select("u", "s"), "u").join(other, "v").select("u", "v", (F.col("c") * F.col("s") * F.col("sv")).alias("c"))
+    if right.limit(dense + 1).count() <= dense:
+        r, m = right.orderBy("u").toPandas(), scaled.toPandas()  # at most dense and dense ** 2 rows
+        matrix = np.zeros((len(r), len(r)))
+        matrix[np.searchsorted(r["u"], m["u"]), np.searchsorted(r["u"], m["v"])] = m["c"]
+        x = np.linalg.lstsq(matrix, r["b"].to_numpy(), rcond=1e-12)[0] * r["s"].to_numpy() if len(r) else []
+        return spark.createDataFrame([(int(k), float(v)) for k, v in zip(r["u"], x, strict=True)], "u long, x double")
+    scaled = materialize(scaled, "scaled")
+    state = right.select("u", "s", F.lit(0.0).alias("x"), F.col("b").alias("r"), F.col("b").alias("p"))
+    first = None
+    for _ in range(max_rounds):
+        q = scaled.join(state.select(F.col("u").alias("v"), "p"), "v").groupBy("u").agg(F.sum(F.col("c") * F.col("p")).alias("q"))
+        now = materialize(state.join(q, "u"), "gradients")
+        total = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(a + b)
+        n = now.agg(total("r", "r"), total("p", "q"), total("r", "q"), total("q", "q")).first()
+        first = n["rr"] if first is None else first
+        if n["rr"] <= tolerance**2 * first or n["pq"] <= 0:
+            return now.select("u", (F.col("x") * F.col("s")).alias("x"))
+        alpha = n["rr"] / n["pq"]
+        beta = max(n["rr"] - 2 * alpha * n["rq"] + alpha * alpha * n["qq"], 0.0) / n["rr"]
+        left = F.col("r") - alpha * F.col("q")
+        state = now.select("u", "s", (F.col("x") + alpha * F.col("p")).alias("x"), left.alias("r"), (left + beta * F.col("p")).alias("p"))
+    raise RuntimeError(f"not solved after {max_rounds} rounds")
+
+
+def _equation(y, w, *terms) -> F.Column:
+    return F.struct(F.array(*[F.struct(u.cast("long").alias("u"), c.cast("double").alias("c")) for u, c in terms]).alias("terms"), F.lit(y).cast("double").alias("y"), F.lit(w).cast("double").alias("w"))
+
+
+def solve_offsets(fits: DataFrame, nodes: DataFrame, **how) -> DataFrame:
+    """(id, offset) by least squares of o_j - o_i = b over (i, j, b, w); the smallest id has 0, and so have nodes without pairs."""
+    one = F.lit(1)
+    pairs = fits.select(_equation(F.col("b"), F.greatest(F.col("w"), F.lit(1e-12)), (F.col("j"), one), (F.col("i"), -one)).alias("e"))
+    anchor = nodes.agg(F.min("id").alias("id")).where("id is not null").select(_equation(0.0, 1e6, (F.col("id"), one)).alias("e"))
+    found = least_squares(pairs.union(anchor).select("e.*"), **how)
+    return nodes.select("id").join(found.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("offset"))
+
+
+def solve_affine(fits: DataFrame, nodes: DataFrame, *, ridge: float = 0.1, rounds: int = 3, clip: tuple[float, float] = (0.2, 5.0), **how) -> DataFrame:
+    """(id, gain, offset) so that g_j * a = g_i and o_j + g_j * b = o_i over the pairs (i, j, a, b, w) by least squares. A
+    ridge holds gains near 1, Tukey weights from the residuals are refitted a few rounds (their median is the approximate one of
+    a sketch of 10,000), and the smallest id is (1, 0). Unknowns are numbered 2 * id and 2 * id + 1."""
+    one, gain, shift = F.lit(1), lambda k: F.col(k) * 2, lambda k: F.col(k) * 2 + 1
+    pairs = materialize(fits.select("i", "j", "a", "b", F.greatest("w", F.lit(1.0)).alias("w"), F.lit(1.0).alias("t")), "pairs")
+    own = nodes.select(F.explode(F.array(_equation(1.0, ridge, (gain("id"), one)))).alias("e"))
+    anchor = nodes.agg(F.min("id").alias("id")).where("id is not null").select(F.explode(F.array(_equation(1.0, 1e8, (gain("id"), one)), _equation(0.0, 1e8, (shift("id"), one)))).alias("e"))
+    for left in range(rounds, -1, -1):
+        w = F.col("w") * F.col("t")
+        slope = _equation(0.0, w, (gain("j"), F.col("a")), (gain("i"), -one))
+        level = _equation(0.0, w, (gain("j"), F.col("b")), (shift("j"), one), (shift("i"), -one))
+        x = materialize(least_squares(pairs.select(F.explode(F.array(slope, level)).alias("e")).union(own).union(anchor).select("e.*"), **how), "solution")
+        g = x.where("u % 2 = 0").select((F.col("u") / 2).cast("long").alias("id"), F.col("x").alias("g"))
+        o = x.where("u % 2 <> 0").select(((F.col("u") - 1) / 2).cast("long").alias("id"), F.col("x").alias("o"))
+        solved = nodes.select("id").join(g, "id", "left").join(o, "id", "left").select("id", F.coalesce("g", F.lit(1.0)).alias("g"), F.coalesce("o", F.lit(0.0)).alias("o"))
+        if not left:
+            return solved.select("id", F.least(F.greatest("g", F.lit(clip[0])), F.lit(clip[1])).alias("gain"), F.col("o").alias("offset"))
+        side = lambda k: solved.select(F.col("id").alias(k), F.col("g").alias("g" + k), F.col("o").alias("o" + k))
+        r = F.abs(F.col("gj") * F.col("a") - F.col("gi")) + F.abs(F.col("oj") + F.col("gj") * F.col("b") - F.col("oi"))
+        held = materialize(pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", "a", "b", "w", r.alias("r")), "residuals")
+        middle = held.agg(F.percentile_approx("r", 0.5, 10000)).first()[0] or 0.0
+        spread = held.agg(F.percentile_approx(F.abs(F.col("r") - middle), 0.5, 10000)).first()[0] or 0.0
+        c = max(4.685 * 1.4826 * spread, 0.02)
+        pairs = held.select("i", "j", "a", "b", "w", F.when(F.col("r") < c, (1 - (F.col("r") / c) ** 2) ** 2).otherwise(1e-3).alias("t"))

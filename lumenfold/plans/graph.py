@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators import graph as G
-from lumenfold.operators import kernels, normalize
 from lumenfold.plans.base import registry, rounded
 from lumenfold.plans.spatial import PAIRS_SQL, boxes, pairs
 from lumenfold.session import table
 
 QUERIES, SQL, query = registry()
 EDGES_SQL = PAIRS_SQL + ", e AS (SELECT i, j, area AS w, strength FROM pairs)"
-#: Above so many nodes the dense solvers refuse; the relaxation has no such bound.
-DENSE_NODES = 4000
+#: An overlap of at most so much area doesn't hold two boxes together before bridges are looked for.
+BRIDGE_WEIGHT = 6000
 
 
 def _with(*parts):
@@ -73,20 +71,9 @@ def active_components(spark, d):
 
 @query(None)
 def bridge_edges(spark, d):
-    """Raw edges that join components of the kept ones, heaviest first: contracted to one edge for each pair of components, then Kruskal over components."""
+    """Raw edges that join components of the kept ones (each box's heaviest, above BRIDGE_WEIGHT), heaviest first."""
     raw = edges(spark, d)
-    kept = G.top_edges(raw, 1).where("w > 6000")
-    comp = G.components(boxes(spark, d), kept)
-    c = lambda side: comp.select(F.col("id").alias(side), F.col("component").alias("c" + side))
-    cross = raw.join(c("i"), "i").join(c("j"), "j").where("ci <> cj")
-    best = cross.groupBy(F.least("ci", "cj").alias("a"), F.greatest("ci", "cj").alias("b")).agg(F.min(F.struct((-F.col("w")).alias("nw"), "i", "j")).alias("e"))
-    rows = best.limit(2_000_001).collect()  # pairs of components, bounded
-    if len(rows) > 2_000_000:
-        raise ValueError("too many pairs of components for the driver")
-    ids = {v: k for k, v in enumerate(sorted({r["a"] for r in rows} | {r["b"] for r in rows}))}
-    by = {(ids[r["a"]], ids[r["b"]]): (r["e"]["i"], r["e"]["j"]) for r in rows}
-    found = kernels.kruskal_bridges(len(ids), [], [(ids[r["a"]], ids[r["b"]], -r["e"]["nw"]) for r in rows])
-    return spark.createDataFrame([by[p] for p in found], "i long, j long")
+    return G.bridges(boxes(spark, d), G.top_edges(raw, 1).where(F.col("w") > BRIDGE_WEIGHT), raw)
 
 
 @query(_with(EDGES_SQL, "u AS (SELECT i AS id, strength FROM e UNION ALL SELECT j, strength FROM e)", "s AS (SELECT id, sum(strength) AS score FROM u GROUP BY id)") + " SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 1")
@@ -119,27 +106,14 @@ def jacobi_gain_offset(spark, d):
     return r.select("id", F.round("gain", 6).alias("gain"), (F.round("offset", 6) + 0.0).alias("offset"))
 
 
-def _dense(spark, d):
-    f = fits(spark, d)
-    nodes = [r[0] for r in boxes(spark, d).select("id").orderBy("id").limit(DENSE_NODES + 1).collect()]
-    if len(nodes) > DENSE_NODES:
-        raise ValueError(f"the dense solvers take at most {DENSE_NODES} nodes; use the relaxation")
-    at = {v: k for k, v in enumerate(nodes)}
-    return nodes, [(at[r["i"]], at[r["j"]], r["a"], r["b"], r["w"]) for r in f.orderBy("i", "j").collect()]
-
-
 @query(None)
 def lsq_offsets(spark, d):
-    nodes, p = _dense(spark, d)
-    o = kernels.solve_offsets(len(nodes), [(i, j, b, w) for i, j, _, b, w in p], 0)
-    return rounded(spark.createDataFrame([(n, float(v)) for n, v in zip(nodes, o, strict=True)], "id long, offset double"))
+    return rounded(G.solve_offsets(fits(spark, d), boxes(spark, d)))
 
 
 @query(None)
 def irls_affine(spark, d):
-    nodes, p = _dense(spark, d)
-    g, o = kernels.solve_affine(len(nodes), p, 0)
-    return rounded(spark.createDataFrame([(n, float(a), float(b)) for n, a, b in zip(nodes, g, o, strict=True)], "id long, gain double, offset double"))
+    return rounded(G.solve_affine(fits(spark, d), boxes(spark, d)))
 
 
 @query(_with(FITS_SQL, "r AS (SELECT i AS id, abs(a - 1) + abs(b) / 100 AS r FROM f UNION ALL SELECT j, abs(a - 1) + abs(b) / 100 FROM f)") + " SELECT id, count(*) AS pairs, round(median(r), 6) AS median, round(quantile_cont(r, 0.95), 6) AS p95 FROM r GROUP BY id")
