@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.session import materialize
+
 
 def orientation_islands(items: DataFrame, group: str, angle: str, key: str, threshold: float) -> DataFrame:
     """(group, key, island): angles sorted around the circle, neighbours within the threshold are one island, the last
@@ -55,3 +57,22 @@ def borrow(items: DataFrame, k: int = 4, border: float = 0.2, quota: float = 0.2
     best = to.groupBy("grp", "id", "r", "n").agg(F.min(F.struct("d", "target")).alias("b")).select("grp", "id", "r", "n", "b.target")
     place = F.row_number().over(Window.partitionBy("grp", "target").orderBy(F.desc("r"), "id"))
     return best.withColumn("p", place).where(F.col("p") <= F.ceil(quota * F.col("n"))).select("id", F.col("grp").alias("home"), "target")
+
+
+def greedy_orientation(items: DataFrame, group: str, angle: str, key: str, threshold: float) -> DataFrame:
+    """(group, key, bucket): in order of the key, an item goes to the first bucket whose first member is within the threshold
+    around the circle, or opens one; those without an angle share one. First members lie apart, so a group has at most
+    360 / threshold + 1: each round finds the next of every group by one aggregation, and items stay where they are read."""
+    a = F.when(~F.isnan(angle), F.col(angle))
+    near = lambda h: F.when(a.isNull() | h.isNull(), a.isNull() & h.isNull()).otherwise(F.least(F.pmod(a - h, F.lit(360.0)), F.pmod(h - a, F.lit(360.0))) <= threshold)
+    first = F.min(F.struct(key, a.alias("a")))["a"]
+    held = lambda heads: items.join(heads, items[group].eqNullSafe(heads["_group"]), "left")
+    heads = materialize(items.groupBy(F.col(group).alias("_group")).agg(F.array(first).alias("_heads")), "heads")
+    for known in range(1, int(360 // threshold) + 3):
+        left = held(heads).where(~F.exists("_heads", near)).groupBy(F.col(group).alias("_next")).agg(F.array(first).alias("_more"))
+        longer = F.concat("_heads", F.coalesce("_more", F.slice("_heads", 1, 0)))
+        heads = materialize(heads.join(left, F.col("_group").eqNullSafe(F.col("_next")), "left").select("_group", longer.alias("_heads")), "heads")
+        if heads.where(F.size("_heads") > known).isEmpty():
+            break
+    bucket = F.array_position(F.transform("_heads", near), True) - 1
+    return held(heads).select(group, key, bucket.cast("int").alias("bucket"))

@@ -111,13 +111,7 @@ def batch_overlap_summary(spark, d):
 @query(None)
 def orientation_greedy(spark, d):
     """Buckets by the first member's angle, in order of id, within each group."""
-    ship(spark)
-
-    def split(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        return pd.DataFrame({"label": f["label"], "id": f["id"], "bucket": kernels.greedy_orientation([None if pd.isna(a) else float(a) for a in f["angle"]], 15.0)})
-
-    return items(spark, d).select("label", "id", "angle").groupBy("label").applyInPandas(split, "label int, id long, bucket int")
+    return G.greedy_orientation(items(spark, d).select("label", "id", "angle"), "label", "angle", "id", 15.0)
 
 
 @query(None)
