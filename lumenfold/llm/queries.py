@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import codes, exact, html, lm, mixing, packing, pii, quality, records, simhash, topk, trie
+from lumenfold.llm import codes, exact, html, jaccard, lm, mixing, packing, pii, quality, records, simhash, topk, trie
 from lumenfold.session import new_path, table
 
 #: The key of the surrogates; a deployment passes its own secret.
@@ -66,9 +66,13 @@ def op11_codes(spark, sf_dir):
     return codes.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op13_trie(spark, sf_dir):
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_html, op4_records, op5_quality, op6_lm, op7_exact, op8_simhash, op9_packing, op10_topk, op11_codes, op13_trie)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_html, op4_records, op5_quality, op6_lm, op7_exact, op8_simhash, op9_packing, op10_topk, op11_codes, op12_jaccard, op13_trie)}
 SQL = {"op7_exact": exact.SQL, "op10_topk": topk.SQL, "op11_codes": codes.SQL, "op13_trie": trie.SQL}
