@@ -141,28 +141,33 @@ def _equation(y, w, *terms) -> F.Column:
     return F.struct(F.array(*[F.struct(u.cast("long").alias("u"), c.cast("double").alias("c")) for u, c in terms]).alias("terms"), F.lit(y).cast("double").alias("y"), F.lit(w).cast("double").alias("w"))
 
 
-def solve_offsets(fits: DataFrame, nodes: DataFrame, **how) -> DataFrame:
-    """(id, offset) by least squares of o_j - o_i = b over (i, j, b, w); the smallest id has 0, and so have nodes without pairs."""
+def _anchor(nodes: DataFrame, anchor: int | None) -> DataFrame:
+    """One row: the node that stays as it is, the smallest id unless one is given."""
+    return nodes.agg(F.min("id").alias("id")).where("id is not null") if anchor is None else nodes.where(F.col("id") == anchor).select("id").limit(1)
+
+
+def solve_offsets(fits: DataFrame, nodes: DataFrame, *, anchor: int | None = None, **how) -> DataFrame:
+    """(id, offset) by least squares of o_j - o_i = b over (i, j, b, w); the anchor has 0, and so have nodes without pairs."""
     one = F.lit(1)
     pairs = fits.select(_equation(F.col("b"), F.greatest(F.col("w"), F.lit(1e-12)), (F.col("j"), one), (F.col("i"), -one)).alias("e"))
-    anchor = nodes.agg(F.min("id").alias("id")).where("id is not null").select(_equation(0.0, 1e6, (F.col("id"), one)).alias("e"))
-    found = least_squares(pairs.union(anchor).select("e.*"), **how)
+    fixed = _anchor(nodes, anchor).select(_equation(0.0, 1e6, (F.col("id"), one)).alias("e"))
+    found = least_squares(pairs.union(fixed).select("e.*"), **how)
     return nodes.select("id").join(found.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("offset"))
 
 
-def solve_affine(fits: DataFrame, nodes: DataFrame, *, ridge: float = 0.1, rounds: int = 3, clip: tuple[float, float] = (0.2, 5.0), **how) -> DataFrame:
+def solve_affine(fits: DataFrame, nodes: DataFrame, *, ridge: float = 0.1, rounds: int = 3, clip: tuple[float, float] = (0.2, 5.0), anchor: int | None = None, **how) -> DataFrame:
     """(id, gain, offset) so that g_j * a = g_i and o_j + g_j * b = o_i over the pairs (i, j, a, b, w) by least squares. A
     ridge holds gains near 1, Tukey weights from the residuals are refitted a few rounds (their median is the approximate one of
-    a sketch of 10,000), and the smallest id is (1, 0). Unknowns are numbered 2 * id and 2 * id + 1."""
+    a sketch of 10,000), and the anchor is (1, 0). Unknowns are numbered 2 * id and 2 * id + 1."""
     one, gain, shift = F.lit(1), lambda k: F.col(k) * 2, lambda k: F.col(k) * 2 + 1
     pairs = materialize(fits.select("i", "j", "a", "b", F.greatest("w", F.lit(1.0)).alias("w"), F.lit(1.0).alias("t")), "pairs")
     own = nodes.select(F.explode(F.array(_equation(1.0, ridge, (gain("id"), one)))).alias("e"))
-    anchor = nodes.agg(F.min("id").alias("id")).where("id is not null").select(F.explode(F.array(_equation(1.0, 1e8, (gain("id"), one)), _equation(0.0, 1e8, (shift("id"), one)))).alias("e"))
+    fixed = _anchor(nodes, anchor).select(F.explode(F.array(_equation(1.0, 1e8, (gain("id"), one)), _equation(0.0, 1e8, (shift("id"), one)))).alias("e"))
     for left in range(rounds, -1, -1):
         w = F.col("w") * F.col("t")
         slope = _equation(0.0, w, (gain("j"), F.col("a")), (gain("i"), -one))
         level = _equation(0.0, w, (gain("j"), F.col("b")), (shift("j"), one), (shift("i"), -one))
-        x = materialize(least_squares(pairs.select(F.explode(F.array(slope, level)).alias("e")).union(own).union(anchor).select("e.*"), **how), "solution")
+        x = materialize(least_squares(pairs.select(F.explode(F.array(slope, level)).alias("e")).union(own).union(fixed).select("e.*"), **how), "solution")
         g = x.where("u % 2 = 0").select((F.col("u") / 2).cast("long").alias("id"), F.col("x").alias("g"))
         o = x.where("u % 2 <> 0").select(((F.col("u") - 1) / 2).cast("long").alias("id"), F.col("x").alias("o"))
         solved = nodes.select("id").join(g, "id", "left").join(o, "id", "left").select("id", F.coalesce("g", F.lit(1.0)).alias("g"), F.coalesce("o", F.lit(0.0)).alias("o"))

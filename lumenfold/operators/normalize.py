@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.columns import clamp, safe_div
 from lumenfold.operators.robust import clipped_stats
+from lumenfold.session import materialize
 
 
 def linear_fit(stats: DataFrame, ref: DataFrame, keys: list[str], *, max_gain: float = 10.0) -> DataFrame:
@@ -53,26 +54,32 @@ def trimmed_regression(pairs: DataFrame, keys: list[str], *, sigma: float = 3.0,
 
 def iterated_regression(pairs: DataFrame, keys: list[str], *, sigma: float = 2.5, rounds: int = 6, least: int = 16, stop: int = 8) -> DataFrame:
     """Fit and clip by residual deviation, so many rounds; a key stops when a clip would leave fewer than ``stop`` samples or its
-    deviation is at most 1e-6. All windows share the key's one shuffle."""
-    w = Window.partitionBy(*keys)
-    p = pairs.withColumn("_k", F.col("x").isNotNull() & F.col("y").isNotNull())
-    p = p.withColumn("_total", F.count(F.when(F.col("_k"), 1)).over(w)).withColumn("_stopped", F.col("_total") < least)
-
-    def fit(p: DataFrame) -> DataFrame:
-        xx, yy = F.when(F.col("_k"), F.col("x")), F.when(F.col("_k"), F.col("y"))
-        p = p.withColumn("slope", safe_div(F.covar_pop(xx, yy).over(w), F.var_pop(xx).over(w))).withColumn("intercept", F.avg(yy).over(w) - F.col("slope") * F.avg(xx).over(w))
-        return p.withColumn("n", F.count(xx).over(w))
-
-    p = fit(p)
-    for _ in range(rounds):
-        p = p.withColumn("_r", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))
-        p = p.withColumn("_rs", F.stddev_pop(F.when(F.col("_k"), F.col("_r"))).over(w))
-        p = p.withColumn("_nk", F.col("_k") & (F.abs("_r") <= sigma * F.col("_rs")))
-        p = p.withColumn("_nn", F.count(F.when(F.col("_nk"), 1)).over(w))
-        p = p.withColumn("_stopped", F.col("_stopped") | (F.col("_rs") <= 1e-6) | (F.col("_nn") < stop))
-        p = fit(p.withColumn("_k", F.when(F.col("_stopped"), F.col("_k")).otherwise(F.col("_nk"))))
-    return p.groupBy(*keys).agg(
-        F.when(F.first("_total") < least, 1.0).otherwise(F.coalesce(F.first("slope"), F.lit(1.0))).alias("gain"),
-        F.when(F.first("_total") < least, 0.0).otherwise(F.coalesce(F.first("intercept"), F.lit(0.0))).alias("offset"),
-        F.first("n").alias("n"),
-    )
+    deviation is at most 1e-6. A key's fits and bounds so far are one small row, joined to its samples, so a round is two
+    aggregations of partial sums, and a key of any size is spread over tasks."""
+    rows = materialize(pairs.select(*keys, "x", "y"), "regression")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+
+    def moments(kept: Column) -> list[Column]:
+        xx, yy = F.when(kept, F.col("x")), F.when(kept, F.col("y"))
+        return [safe_div(F.covar_pop(xx, yy), F.var_pop(xx)).alias("slope"), F.avg(xx).alias("mx"), F.avg(yy).alias("my"), F.count(xx).alias("n")]
+
+    line = (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept")
+    none = F.lit(None).cast("array<struct<slope:double,intercept:double,most:double>>")
+    state = rows.groupBy(*keys).agg(*moments(both)).select(*keys, "slope", line, "n", F.col("n").alias("total"), (F.col("n") < least).alias("stopped"), F.coalesce(none, F.array()).alias("cuts"))
+    state = materialize(state, "fits")
+    within = lambda c: F.abs(F.col("y") - c["slope"] * F.col("x") - c["intercept"]) <= c["most"]
+    for turn in range(rounds):
+        if turn and state.where("not stopped").isEmpty():
+            break
+        open_ = state.where("not stopped").select(*keys, "slope", "intercept", "cuts")
+        held = rows.where(both).join(open_, keys).where(F.forall("cuts", within))
+        spread = held.groupBy(*keys).agg(F.stddev_pop(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")).alias("rs"))
+        tried = open_.join(spread, keys).withColumn("cut", F.struct("slope", "intercept", (sigma * F.col("rs")).alias("most")))
+        again = rows.where(both).join(tried.select(*keys, "rs", "cuts", "cut"), keys).where(F.forall("cuts", within) & within(F.col("cut")))
+        new = again.groupBy(*keys).agg(*moments(F.lit(True)), F.first("rs").alias("rs"), F.first("cut").alias("cut")).where((F.col("rs") > 1e-6) & (F.col("n") >= stop))
+        new = new.select(*keys, F.col("slope").alias("n_slope"), (F.col("my") - F.col("slope") * F.col("mx")).alias("n_intercept"), F.col("n").alias("n_n"), "cut")
+        j, goes = state.join(new, keys, "left"), F.col("n_n").isNotNull()
+        pick = lambda c: F.when(goes, F.col("n_" + c)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
+        state = materialize(j.select(*keys, pick("slope"), pick("intercept"), pick("n"), "total", (~goes).alias("stopped"), F.when(goes, F.array_append("cuts", F.col("cut"))).otherwise(F.col("cuts")).alias("cuts")), "fits")
+    few = F.col("total") < least
+    return state.select(*keys, F.when(few, 1.0).otherwise(F.coalesce("slope", F.lit(1.0))).alias("gain"), F.when(few, 0.0).otherwise(F.coalesce("intercept", F.lit(0.0))).alias("offset"), "n")
