@@ -47,7 +47,7 @@ SAMPLE, KEPT, OFTEN = 2048, 1024, 4
 #: The largest boundary that is considered.
 LIGHT = 20
 #: Sets of a list that one task holds against each other.
-BLOCK = 4096
+BLOCK = 1024
 #: Lists up to so many sets are looked at by sizes and places before bitmaps are fetched.
 SMALL = 32
 #: Rounds of a list's scan that give a forest; one that gives all that is left follows.
@@ -88,6 +88,14 @@ def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(hashes(text, width, seed))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """As ``simhash.fingerprint``, from the hashes, as a signed long."""
+    total = np.zeros(64, np.int64)
+    for s in range(0, len(found), 65536):
+        total += np.unpackbits(found[s : s + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > max(1, len(found))).tobytes(), "big", signed=True)
+
+
 def node_of(found: np.ndarray) -> bytes:
     import xxhash
 
@@ -189,11 +197,11 @@ def plan(docs: DataFrame, text_col: str, width: int, percent: int) -> tuple[np.n
     return frequent, times, int(cost.argmin())
 
 
-SKETCH = "id {0}, mark long, node binary, n int, bits binary, low long, lists array<long>, short int, k1 array<long>, k2 array<long>, ts array<int>"
+SKETCH = "id {0}, mark long, node binary, n int, bits binary, low long, lists array<long>, short int, k1 array<long>, k2 array<long>, ts array<int>, fp long"
 
 
-def sketches(docs: DataFrame, how: tuple[np.ndarray, np.ndarray, int], id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """One row a document. ``lists`` are the first shingles' upper 40 bits above 24 of the node's, whose other 64 are ``low``;
+def sketches(docs: DataFrame, how: tuple[np.ndarray, np.ndarray, int], id_col: str, text_col: str, width: int, percent: int, prints: bool = False) -> DataFrame:
+    """One row a document, with the SimHash fingerprint of its shingles if ``prints``. ``lists`` are the first shingles' upper 40 bits above 24 of the node's, whose other 64 are ``low``;
     a worker sends the lists and subsets of a set once while it remembers it."""
     spark = docs.sparkSession
     ship(spark)
@@ -205,7 +213,8 @@ def sketches(docs: DataFrame, how: tuple[np.ndarray, np.ndarray, int], id_col: s
         for b in batches:
             rows = []
             for t in b.column(1):
-                own = shingles(t.as_py(), width)
+                all_ = hashes(t.as_py(), width)
+                own = np.unique(all_)
                 n, node = len(own), node_of(own)
                 lists, subsets = np.empty(0, np.int64), (np.empty(0, np.int64),) * 2 + (np.empty(0, np.int32),)
                 if n and node not in seen:
@@ -215,14 +224,14 @@ def sketches(docs: DataFrame, how: tuple[np.ndarray, np.ndarray, int], id_col: s
                         lists = ((first & ~_LOW) | np.uint64(int.from_bytes(node[:3], "big"))).view(np.int64)
                     if n <= boundary:
                         subsets = subset_keys(own, percent)
-                rows.append((node, n, parity(own), int.from_bytes(node[3:], "big", signed=True), lists, short_size(n, percent) if n else 0, *subsets))
+                rows.append((node, n, parity(own), int.from_bytes(node[3:], "big", signed=True), lists, short_size(n, percent) if n else 0, *subsets, fingerprint(all_) if prints else 0))
             if len(seen) > SEEN:
                 seen.clear()
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 10
             longs = pa.list_(pa.int64())
-            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), longs, pa.int32(), longs, longs, pa.list_(pa.int32())]
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), longs, pa.int32(), longs, longs, pa.list_(pa.int32()), pa.int64()]
             made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=["id", "mark", "node", "n", "bits", "low", "lists", "short", "k1", "k2", "ts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=["id", "mark", "node", "n", "bits", "low", "lists", "short", "k1", "k2", "ts", "fp"])
         give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -451,18 +460,73 @@ def _scanned(lists: DataFrame, boundary: int, percent: int, every: bool) -> Data
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "short", "comp", "block", "bits")
 
-    def scan(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        node = t.column("node").to_pylist()
-        order = sorted(range(len(node)), key=node.__getitem__)
-        t = t.take(pa.array(order))
-        node = [node[i] for i in order]
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole runs; small ones all at once, others one by one."""
+        key = [t.column(c).to_numpy() for c in ("bucket", "one", "two")]
+        node, bits = t.column("node").to_pylist(), t.column("bits").to_pylist()
         n, short, block = (t.column(c).to_numpy() for c in ("n", "short", "block"))
         comp = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)[1].ravel()
-        a, b = scan_list(n, short, comp, block, t.column("bits").to_pylist(), (key[1].as_py(), key[2].as_py()), boundary, percent, every)
-        pair = [(min(node[i], node[j]), max(node[i], node[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        return pa.table({"a": pa.array([p[0] for p in pair], pa.binary()), "b": pa.array([p[1] for p in pair], pa.binary())})
+        start = np.ones(len(n), bool)
+        start[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+        at = np.flatnonzero(start)
+        size = np.diff([*at, len(n)])
+        found_a, found_b = [], []
+        for r in range(2, SMALL + 1):
+            rows = at[size == r][:, None] + np.arange(r)
+            for s in range(0, len(rows), 1 + (1 << 20) // (r * r)):
+                some = rows[s : s + 1 + (1 << 20) // (r * r)]
+                fits = _compatible(n[some][:, :, None], short[some][:, :, None], n[some][:, None, :], short[some][:, None, :], boundary, percent)
+                fits &= comp[some][:, :, None] != comp[some][:, None, :]
+                run, i, j = np.nonzero(np.triu(fits, 1))
+                found_a.append(some[run, i])
+                found_b.append(some[run, j])
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (found_a, found_b))
+        if len(a):
+            used = np.unique(np.concatenate([a, b]))
+            maps = _Bitmaps([bits[i] for i in used.tolist()])
+            passes = maps.differing(np.searchsorted(used, a), np.searchsorted(used, b)) <= n[a].astype(np.int64) + n[b] - 2 * least(n[a].astype(np.int64), n[b], percent)
+            a, b = a[passes], b[passes]
+        out = set()
+        root: dict[tuple[int, int], tuple[int, int]] = {}  # of a run's components
+
+        def find(x: tuple[int, int]) -> tuple[int, int]:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        run = np.searchsorted(at, a, "right")
+        for g, i, j in zip(run.tolist(), a.tolist(), b.tolist(), strict=True):
+            x, y = find((g, int(comp[i]))), find((g, int(comp[j])))
+            if every or x != y:
+                root[x] = y
+                out.add((node[i], node[j]) if node[i] < node[j] else (node[j], node[i]))
+        for g in np.flatnonzero(size > SMALL).tolist():
+            s, e = int(at[g]), int(at[g] + size[g])
+            own = np.unique(comp[s:e], return_inverse=True)[1].ravel()
+            ends = int(key[1][s]), int(key[2][s])
+            for i, j in zip(*(x.tolist() for x in scan_list(n[s:e], short[s:e], own, block[s:e], bits[s:e], ends, boundary, percent, every)), strict=True):
+                x, y = node[s + i], node[s + j]
+                out.add((x, y) if x < y else (y, x))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def scan(batches):
+        held: list[pa.RecordBatch] = []  # rows of a run that may go on
+        for batch in batches:
+            t = pa.Table.from_batches([*held, batch])
+            key = [t.column(c).to_numpy() for c in ("bucket", "one", "two")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0))
+            if not len(new):
+                held.append(batch)
+                continue
+            cut = int(new[-1]) + 1
+            held = t.slice(cut).to_batches()
+            yield pairs_of(t.slice(0, cut))
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
+        give_back()
 
-    return rows.groupBy("bucket", "one", "two").applyInArrow(scan, "a binary, b binary").distinct()
+    rows = rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "node")
+    return rows.mapInArrow(scan, "a binary, b binary").distinct()
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -534,9 +598,14 @@ def join(docs: DataFrame, *, percent: int = 80, width: int = 5, id_col: str = "d
     nodes = every.groupBy("node").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "sets")
     base = linked(docs, nodes, every, how[2], percent, text_col, width)
-    rooted = nodes.select("node", "least").join(base, F.col("node") == F.col("k_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(smallest.hint("merge"), F.col("root") == F.col("r")).select(F.col("node").alias("m_node"), "component_id"), "named").hint("merge")
-    out = every.select("id", "node", "n").join(named, F.col("node") == F.col("m_node"))
+    out = named(every, nodes, base)
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def named(every: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(id, n, component_id) of the sketched documents, from the links' components."""
+    rooted = nodes.select("node", "least").join(base, F.col("node") == F.col("k_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    known = materialize(rooted.join(smallest.hint("merge"), F.col("root") == F.col("r")).select(F.col("node").alias("m_node"), "component_id"), "named").hint("merge")
+    return every.select("id", "node", "n").join(known, F.col("node") == F.col("m_node")).select("id", "n", "component_id")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from lumenfold.llm import similar
+from lumenfold.llm import jaccard, similar
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -87,13 +87,14 @@ def test_stage_finds_similar_documents(spark):
     assert len(got) == 40
 
 
-def test_bands_seldom_miss():
+def test_bitmaps_never_part_what_links():
     rng = random.Random(1)
-    missed = 0
-    for _ in range(400):
-        base = words(rng, 300)
-        a, b = (similar.minima(similar.shingles(" ".join(t))) for t in (base, changed(rng, base, 6)))
-        missed += not (similar.bands(a) == similar.bands(b)).any()
-        four = [np.unpackbits(similar.signs(x).view(np.uint8)).reshape(-1, 4) for x in (a, b)]
-        missed += (four[0] != four[1]).any(1).sum() > similar.most_signs(0.8)
-    assert missed == 0
+    told = 0
+    for n, c in [(300, 6), (40, 1), (1500, 30), (12, 0), (300, 60), (40, 10)] * 40:
+        base = words(rng, n)
+        a, b = (jaccard.shingles(" ".join(t)) for t in (base, changed(rng, base, c)))
+        shared = len(np.intersect1d(a, b))
+        passes = jaccard.may_link(len(a), len(b), jaccard.parity(a), jaccard.parity(b), 80)
+        assert passes or 100 * shared < 80 * (len(a) + len(b) - shared)
+        told += not passes
+    assert told > 60
