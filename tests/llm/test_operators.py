@@ -564,3 +564,40 @@ def test_pii_whole_texts_against_brute_force(spark):
     known = {e: (attempt, genders[e]) for e, (attempt, _) in brute_resolve(genders, queries.SURROGATE_KEY).items()}
     got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df, queries.SURROGATE_KEY).collect()}
     assert got == {i: None if t is None else pii.rewrite(t, queries.SURROGATE_KEY, known)[0] for i, t in texts.items()} and len(genders) > 10
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    return {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    story = "<div class='content'><h1>One story</h1><p>Told three times.</p></div>"
+    pages = [(i, "https://six.example/", story) for i in range(3)] + [(3 + i, "https://six.example/", f"<div class='content'><h1>Story {i}</h1><p>Told once, {i}.</p></div>") for i in range(3)]
+    got = extracted(spark, pages)
+    assert got == {i: "One story\nTold three times." for i in range(3)} | {3 + i: f"Story {i}\nTold once, {i}." for i in range(3)}
+
+
+def test_what_an_article_repeats_stays(spark):
+    pages = [(i, "https://a.example/", f"<article><h1>Title {i}</h1><p>By Jane Doe</p><h2>Abstract</h2><p>Words {i}.</p></article>") for i in range(6)]
+    assert extracted(spark, pages) == {i: f"Title {i}\nBy Jane Doe\nAbstract\nWords {i}." for i in range(6)}
+    pages = [(i, "https://b.example/", f"<div><h1>Dish {i}</h1><p>{'Recipe. Serves four people.' if i < 4 else f'Serves {i}.'}</p><p>Take {i} eggs.</p><p>Stir {i} times.</p></div>") for i in range(6)]
+    got = extracted(spark, pages)
+    assert all("Serves" in t for t in got.values())
+
+
+def test_a_list_of_own_links_is_no_menu(spark):
+    titles = lambda i: "".join(f"<li><a href='/paper/{i}-{k}'>Paper {k} of {i}</a></li>" for k in range(5))
+    menu = "".join(f"<div class='z'><a href='/{k}'>Go {k}</a></div>" for k in range(4))
+    pages = [(i, "https://papers.example/", f"<div>{menu}</div><div><h1>Issue {i}</h1><ul>{titles(i)}</ul></div>") for i in range(5)]
+    assert extracted(spark, pages) == {i: "\n".join([f"Issue {i}", *(f"Paper {k} of {i}" for k in range(5))]) for i in range(5)}
+
+
+def test_ids_of_pages_leave_the_wrapper_small(spark):
+    one = lambda i: f"<body class='postid-{i}'><div class='box'>Get our letter today</div><div id='post-{i}' class='post-{i} entry'><h1>Title {i}</h1><p>Own words {i}</p></div></body>"
+    size = {}
+    for n in (20, 200):
+        df = spark.createDataFrame([(i, "https://blog.example/", one(i)) for i in range(n)], "page_id long, url string, html string")
+        size[n] = max(len(r["wrapper"]) for r in html.wrappers(df).collect())
+    assert size[200] < size[20] * 4
+    assert extracted(spark, [(i, "https://blog.example/", one(i)) for i in range(40)]) == {i: f"Title {i}\nOwn words {i}" for i in range(40)}
