@@ -1,12 +1,13 @@
 """Personal data replaced by keyed surrogates.
 
-Detected entities: e-mail addresses, phone numbers, IPv4 addresses, payment card numbers (Luhn or 16 digits), IBANs,
+Detected entities: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment card numbers (Luhn or 16 digits), IBANs,
 US social security numbers, secrets (long hexadecimal strings, and values behind a key-like name), and names of
 persons behind a title or beginning with a known given name. Each gets a surrogate made from an HMAC of a secret key,
 the entity's type and its canonical form, so an entity has one surrogate in all documents (coreference), whatever its
 spelling of case or separators and whatever title stands before it. A surrogate keeps type and format: letters stay
 letters of the same script and case, digits digits, separators stay; a card keeps its validity, an address's octets
-stay valid, an e-mail its last domain label, a name its gender and its number of words.
+stay valid, an e-mail its last domain label, a name its gender and its number of words. A part of a name has one surrogate in
+all names ("Maria Weber", "Dr. J. Weber", "Weber's"), except where telling two names apart needs another.
 
 A name's gender is that of its given name if known, else what its titles say in the whole corpus (where they
 contradict each other, "f"): it goes with the entity, not with the mention.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -56,8 +58,10 @@ GIVEN = {
 }
 TITLES = {"f": "Mrs Ms Miss Frau Mme Madame Mlle Señora Sra Doña Signora".split(), "m": "Mr Herr Monsieur Señor Sr Don Signor".split(), "n": "Dr Prof Dra Professor".split()}
 _BY_NAME = {n: key for key, names in GIVEN.items() for n in names}
-_NAME = r"[^\W\d_a-zà-ÿ]\w*(?:['’-]\w+)*"
-_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sorted(sum(TITLES.values(), []), key=len, reverse=True))})\.?[ \t]+(?P<titled>{_NAME}(?:[ \t]+{_NAME}){{0,2}})|(?P<given>(?:{'|'.join(_BY_NAME)})(?:[ \t]+{_NAME}){{1,2}})\b)")
+# a possessive's 's is no part of a name; an initial with its full stop is, in front of more of it
+_NAME = r"[^\W\d_a-zà-ÿ]\w*(?:['’-](?!s\b)\w+)*"
+_INITIALS = r"(?:[^\W\d_a-zà-ÿ]\.[ \t]*)*"
+_PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sorted(sum(TITLES.values(), []), key=len, reverse=True))})\.?[ \t]+(?P<titled>{_INITIALS}{_NAME}(?:[ \t]+{_INITIALS}{_NAME}){{0,2}})|(?P<given>(?:{'|'.join(_BY_NAME)})(?:[ \t]+{_INITIALS}{_NAME}){{1,2}})\b)")
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 # Order matters: at the same place the first that fits is taken.
 _PATTERNS = {
@@ -66,12 +70,13 @@ _PATTERNS = {
     "keyed": re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?(?P<value>[^\s\"',;]{6,})"),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,4})?\b"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
+    "ip6": re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d.])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\d.])\d{13,19}(?!\d)"),
     # between a phone number's parts up to five other signs may stand
-    "phone": re.compile(r"(?<!\w)(?:\+\d{1,3}\W{0,5})?\(\d{2,4}\)\W{0,5}\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,14}(?!\d)"),
+    "phone": re.compile(r"(?<!\w)(?:\+\d{1,3}\W{0,5})?\(\d{2,4}\)\W{0,5}\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,14}(?!\d)|(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)"),
 }
-_CASELESS = {"email", "iban", "name"}
+_CASELESS = {"email", "iban", "name", "ip"}
 
 
 def gender_of(name: str) -> str:
@@ -87,18 +92,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _address(value: str) -> bool:
+    """Whether it is an IPv6 address, and no scope operator between short names."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in value) and sum(c != ":" for c in value) >= 4
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, detail) of each entity, in order, without overlaps; detail is a name's gender."""
     found: list[tuple[int, int, int, str, str]] = []
     some_digit = any(d in text for d in "0123456789")
     for rank, (kind, pattern) in enumerate(_PATTERNS.items()):
-        if kind == "email" and "@" not in text or kind not in ("email", "secret", "keyed") and not some_digit or kind == "keyed" and "=" not in text and ":" not in text:
+        if kind == "email" and "@" not in text or kind == "ip6" and ":" not in text or kind not in ("email", "secret", "keyed") and not some_digit or kind == "keyed" and "=" not in text and ":" not in text:
             continue
         for m in pattern.finditer(text):
             a, b = m.span("value") if kind == "keyed" else m.span()
             if kind == "card" and len(digits := re.sub(r"\D", "", m[0])) != 16 and not luhn(digits):
                 continue
-            found.append((a, -b, rank, "secret" if kind == "keyed" else kind, ""))
+            if kind == "ip6" and not _address(m[0]):
+                continue
+            found.append((a, -b, rank, {"keyed": "secret", "ip6": "ip"}.get(kind, kind), ""))
     for m in _PERSON.finditer(text):
         which = "titled" if m["titled"] else "given"
         found.append((m.start(which), -m.end(which), 99, "name", gender_of(m[which]) or _TITLE_GENDER.get(m["title"] or "", "n")))
@@ -172,6 +188,8 @@ def core(kind: str, gender: str, canon: str, attempt: int, key: bytes) -> str:
         d = _Stream(key, f"domain\x00{domain}")
         return _letters(local + "e" * extra, s) + "@" + ".".join([*(_letters(x, d) for x in labels[:-1]), labels[-1]])
     if kind == "ip":
+        if ":" in canon and not extra:
+            return _letters(canon, s, True)
         if extra:
             return ":".join(["fd00", *(f"{s.below(65536):04x}" for _ in range(7))])
         first = int(canon.split(".")[0])
@@ -195,11 +213,16 @@ def core(kind: str, gender: str, canon: str, attempt: int, key: bytes) -> str:
         hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", rest)) and not rest.isdigit()
         out = _letters(rest + rest[-1:] * extra, s, hexadecimal)
         return prefix + (out.upper() if rest.isupper() else out)
-    words, given = canon.split(), GIVEN.get((gender if gender != "n" else "fm"[s.below(2)], script(canon[0])))
+    # a part of a name has the same surrogate in every name, so that the part alone is known again; first attempts vary the given name
+    words = canon.split()
     longer = words[-1] + next((c for c in reversed(words[-1]) if c.isalpha()), "a") * extra
-    if len(words) > 1 and given:
-        return " ".join([given[s.below(len(given))].lower(), *(_letters(w, s) for w in [*words[1:-1], longer])])
-    return " ".join(_letters(w, s) for w in [*words[:-1], longer])
+    part = lambda w, shown, k: _letters(shown, _Stream(key, f"part\x00{w}\x00{k}"))
+    if len(words) == 1:
+        return part(words[-1], longer, attempt)
+    g = _Stream(key, f"given\x00{words[0]}\x00{attempt}")
+    given = GIVEN.get((gender if gender != "n" else "fm"[g.below(2)], script(canon[0])))
+    first = part(words[0], words[0], attempt) if words[0].endswith(".") or not given else given[g.below(len(given))].lower()
+    return " ".join([first, *(part(w, w, attempt // 6) for w in words[1:-1]), part(words[-1], longer, attempt // 6)])
 
 
 def _dress(kind: str, made: str, value: str) -> str:

@@ -601,3 +601,20 @@ def test_ids_of_pages_leave_the_wrapper_small(spark):
         size[n] = max(len(r["wrapper"]) for r in html.wrappers(df).collect())
     assert size[200] < size[20] * 4
     assert extracted(spark, [(i, "https://blog.example/", one(i)) for i in range(40)]) == {i: f"Title {i}\nOwn words {i}" for i in range(40)}
+
+
+def test_parts_of_a_name_are_known_again(spark):
+    texts = ["Maria Weber's car", "Maria Weber left", "Dr. Weber spoke", "Dr. J. Weber spoke", "Mr. R. J. Weber and Maria Klein", "call 5552345678 now", "at 2001:db8::ff00:42:8329 or 2001:0db8:0000:0000:0000:ff00:0042:8329", "std::vector and a::b at 12:30:45, order 1234567890"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymize(df, b"k").orderBy("doc_id").collect()]
+    given, surname = got[1].split()[:2]
+    assert {given, surname}.isdisjoint({"Maria", "Weber"})
+    assert got[0] == f"{given} {surname}'s car"
+    assert got[2] == f"Dr. {surname} spoke"
+    initial = re.fullmatch(rf"Dr\. (\w)\. {surname} spoke", got[3])
+    assert initial
+    assert re.fullmatch(rf"Mr\. \w\. \w\. {surname} and {given} \w+", got[4])
+    assert re.fullmatch(r"call \d{10} now", got[5]) and "5552345678" not in got[5]
+    assert not {"2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329"} & set(got[6].split())
+    assert all(len(re.sub("[^:]", "", a)) == n for a, n in zip([w for w in got[6].split() if ":" in w], [5, 7], strict=True))
+    assert got[7] == texts[7]
