@@ -20,6 +20,8 @@ from lumenfold.session import materialize
 
 #: Of the nearest records only so many are looked at (a fixed value that must equal the grouping's that this one replaces).
 NEAREST = 64
+#: Records among which a search needs no small cells.
+FEW = 4096
 _R = math.pi / 180
 
 
@@ -52,7 +54,8 @@ def near(records: DataFrame, others: DataFrame, within: float, k: int, fits) ->
     reach = 2 * math.sin(min(within, 180.0) * _R / 2) * (1 + 1e-9)
     o = others.select(*[F.col(c).alias("o_" + c) for c in others.columns if c not in ("vx", "vy", "vz")], *[F.col("v" + x).alias("o" + x) for x in "xyz"])
     todo, done = records, None
-    for c in (reach / 16, reach / 4, reach):
+    few = others.limit(FEW + 1).count() <= FEW  # then no cell holds many
+    for c in (reach,) if few else (reach / 16, reach / 4, reach):
         spread = todo
         for x in "xyz":
             spread = spread.withColumn("c" + x, F.explode(F.array(*[F.floor(F.col("v" + x) / c) + i for i in (-1, 0, 1)])))

@@ -19,8 +19,6 @@ from lumenfold.plans.spatial import BOXES_SQL, CELL, ITEMS_SQL, PAIRS_SQL, boxes
 from lumenfold.session import ship, table
 
 QUERIES, SQL, query = registry()
-#: Rows that smoothing looks back.
-MEMORY = 110
 K = ["pixel"]
 
 
@@ -311,16 +309,6 @@ def mount_run_split(spark, d):
     return g.groupBy("label").agg(F.when(both, "split").otherwise("whole").alias("run"), F.count_distinct("mode").alias("modes"))
 
 
-@query("SELECT event_type, event_id, round(list_reduce(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), lambda s, x: 0.7 * s + 0.3 * x), 6) AS smoothed FROM events")
-def eta_smoothing(spark, d):
-    """Exponential smoothing as a fold over what came before. A value counts 0.7 ** k after k others, so the fold begins
-    ``MEMORY`` rows back, where it is below the rounding of a double."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-MEMORY, 0)
-    v = F.collect_list("value").over(w)
-    folded = F.aggregate(F.slice(v, 2, MEMORY), v[0], lambda s, x: 0.7 * s + 0.3 * x)
-    return rounded(table(spark, d, "events").select("event_type", "event_id", folded.alias("smoothed")))
-
-
 @query("SELECT page_id FROM pages WHERE page_id % 3 <> 0 OR md5(url) > '8'")
 def resume_misses(spark, d):
     """Results of an earlier run that are missing or no longer fit their input's fingerprint."""

@@ -26,9 +26,10 @@ def stream(spark, d):
     return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-def stream_in_time(spark, d, parts: int = 4):
-    """The events as a stream that delivers them in order of time: one file after another."""
+def stream_in_time(spark, d, parts: int = 4, rows: int = 1_000_000):
+    """The events as a stream that delivers them in order of time: one file after another, of about ``rows`` rows at most."""
     source = events(spark, d)
+    parts = max(parts, -(-source.count() // rows))
     path = new_path(spark, "events-in-time")
     cuts = source.selectExpr(f"percentile_approx(unix_micros(ts), array({', '.join(str(k / parts) for k in range(1, parts))})) AS c").first()["c"] or []
     at = F.unix_micros("ts")
@@ -39,7 +40,7 @@ def stream_in_time(spark, d, parts: int = 4):
 
 
 def drained(spark, df, mode: str, keys: list[str] | None = None):
-    """All that a stream puts out, from a sink in the shared folder; in update mode, the last row of each key."""
+    """All that a stream puts out, from a sink in the shared folder; in update mode, the last row of each key, in complete mode the last batch."""
     name = uuid.uuid4().hex
     path = new_path(spark, "sink")
 
@@ -48,6 +49,8 @@ def drained(spark, df, mode: str, keys: list[str] | None = None):
 
     df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", new_path(spark, "stream")).queryName(f"q{name}").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(path)
+    if mode == "complete":
+        return out.join(F.broadcast(out.agg(F.max("_batch").alias("_batch"))), "_batch").drop("_batch")
     if keys:
         last = F.max_by(F.struct(*[c for c in out.columns if c not in (*keys, "_batch")]), "_batch").alias("r")
         return out.groupBy(*keys).agg(last).select(*keys, "r.*")
@@ -56,12 +59,14 @@ def drained(spark, df, mode: str, keys: list[str] | None = None):
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def events_tumbling(spark, d):
-    return rounded(S.windows(events(spark, d), "tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"))
+    w = drained(spark, S.windows(stream_in_time(spark, d), "tumbling"), "update", ["start", "event_type"])
+    return rounded(w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"))
 
 
 @query("SELECT b - k * INTERVAL 6 HOUR AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS b FROM events), (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL")
 def events_sliding(spark, d):
-    return rounded(S.windows(events(spark, d), "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"))
+    w = drained(spark, S.windows(stream_in_time(spark, d), "sliding"), "update", ["start", "event_type"])
+    return rounded(w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"))
 
 
 @query(
@@ -111,3 +116,33 @@ def throttle_sample(spark, d):
     s = stream_in_time(spark, d).select("event_type", "event_id", "ts", "value")
     out = drained(spark, S.throttle(s, ["event_type"], 3600.0, "event_type string, event_id long, ts timestamp, value double", tie="event_id"), "append")
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    "SELECT event_type, event_id, round(list_reduce(list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), lambda s, x: CASE WHEN abs(x - s) > 4 * abs(s) THEN x ELSE 0.7 * s + 0.3 * x END), 6) AS smoothed FROM events"
+)
+def eta_smoothing(spark, d):
+    """Exponential smoothing as a fold over a stream, begun anew at a value far from it."""
+    ship(spark)
+    s = stream_in_time(spark, d).select("event_type", "event_id", "ts", "value")
+    out = drained(spark, S.smoothed(s, ["event_type"], "event_type string, event_id long, ts timestamp, value double", shift=4.0, tie="event_id"), "append")
+    return rounded(out.select("event_type", "event_id", "smoothed"))
+
+
+RUNS_SQL = "e AS (SELECT event_type, event_id, ts, 1 + user_id % 3 AS units, length(event_type) * 600 AS total FROM events)"
+
+
+@query(
+    f"WITH RECURSIVE {RUNS_SQL}, c AS (SELECT *, least(total, sum(units) OVER w)::BIGINT AS done, epoch_us(ts) AS us, min(epoch_us(ts)) OVER (PARTITION BY event_type) AS start, row_number() OVER w AS place FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),"
+    " f AS (SELECT event_type, min(place) AS last FROM c WHERE done >= total GROUP BY event_type), k AS (SELECT c.*, coalesce(f.last, 1000000000000000) AS last FROM c LEFT JOIN f USING (event_type) WHERE place <= coalesce(f.last, 1000000000000000)),"
+    " r AS (SELECT event_type, place, us, NULL::DOUBLE AS rate FROM k WHERE place = 1 UNION ALL"
+    " SELECT k.event_type, k.place, k.us, CASE WHEN n.rate IS NULL THEN k.done / ((k.us - k.start) / 1e6) ELSE 0.75 * n.rate + 0.25 * k.done / ((k.us - k.start) / 1e6) END FROM (SELECT r.event_type, r.rate, min(k.place) AS place FROM r JOIN k ON k.event_type = r.event_type AND k.place > r.place AND (k.us - r.us >= 7200000000 OR k.place = k.last) GROUP BY r.event_type, r.rate) n JOIN k USING (event_type, place))"
+    " SELECT event_type, event_id, ts, done, total::BIGINT AS total, round(CASE WHEN place = last THEN 0 WHEN rate IS NOT NULL THEN (total - done) / rate END, 4) AS eta, place = last AS finished FROM r JOIN k USING (event_type, place)"
+)
+def progress_reports(spark, d):
+    """Reports of runs, two hours apart at least, with the time that is left by the smoothed rate; some runs end."""
+    ship(spark)
+    units, total = (F.lit(1) + F.col("user_id") % 3).cast("long"), (F.length("event_type") * 600).cast("long")
+    s = stream_in_time(spark, d).select("event_type", "event_id", "ts", units.alias("units"), total.alias("total"))
+    out = drained(spark, S.progress(s, ["event_type"], "event_type string, event_id long", interval=7200.0, tie="event_id"), "append")
+    return out.select("event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "done", "total", F.round("eta", 4).alias("eta"), (F.col("done") >= F.col("total")).alias("finished"))

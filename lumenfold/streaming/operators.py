@@ -29,6 +29,70 @@ def throttle(df: DataFrame, keys: list[str], interval: float, schema: str, tie:
     return df.groupBy(*keys).applyInPandasWithState(emit, schema, "last long", "append", "NoTimeout")
 
 
+def _in_order(frames: Iterator[pd.DataFrame], tie: str | None) -> pd.DataFrame:
+    """A key's rows of one micro-batch, in order of time; a source bounds a batch by its files."""
+    rows = pd.concat(list(frames)).sort_values(["ts", tie] if tie else ["ts"], kind="stable")
+    return rows.assign(us=rows["ts"].astype("datetime64[us]").astype("int64"))
+
+
+def smoothed(df: DataFrame, keys: list[str], schema: str, *, alpha: float = 0.3, shift: float | None = None, value: str = "value", tie: str | None = None) -> DataFrame:
+    """``df``'s rows with ``smoothed``: an exponential mean over all of the key's rows so far, that starts again at a value
+    farther than ``shift`` times itself. The mean is the state, so batches of any size give the same; a null value leaves it
+    as it is. Sources must deliver in order of ``ts``, then ``tie``, from batch to batch."""
+
+    def fold(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        mean = state.get[0] if state.exists else None
+        rows, out = _in_order(frames, tie), []
+        for x in rows[value].to_list():
+            if x is not None and x == x:
+                mean = x if mean is None or shift is not None and abs(x - mean) > shift * abs(mean) else (1 - alpha) * mean + alpha * x
+            out.append(mean)
+        if mean is not None:
+            state.update((mean,))
+        yield rows.drop(columns="us").assign(smoothed=out)
+
+    return df.groupBy(*keys).applyInPandasWithState(fold, f"{schema}, smoothed double", "mean double", "append", "NoTimeout")
+
+
+def clock(seconds: float | None) -> str:
+    if seconds is None:
+        return "--:--:--"
+    s = max(0, round(seconds))
+    return f"{s // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}"
+
+
+PROGRESS = "ts timestamp, done long, total long, eta double, text string"
+
+
+def progress(df: DataFrame, keys: list[str], schema: str, *, interval: float = 0.3, alpha: float = 0.25, tie: str | None = None) -> DataFrame:
+    """Reports (keys, tie, ts, done, total, eta, text) of runs whose rows (keys, tie, ts, units, total) tell units done: at most
+    one each ``interval`` seconds, and one when the total is reached, after which a run says no more. The remaining seconds
+    follow from the rate since the run's first row, smoothed from report to report; none before anything is done in any time.
+    ``schema`` is that of the keys and the tie. State: start, units, rate, last report."""
+
+    def report(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        start, done, rate, last, over = state.get if state.exists else (None, 0, None, None, False)
+        rows, keep, out = _in_order(frames, tie), [], []
+        for at, units, total in zip(rows["us"], rows["units"], rows["total"], strict=True):
+            start = int(at) if start is None else start
+            done = min(int(total), done + max(0, int(units)))
+            due = not over and (done >= total or last is None or at - last >= interval * 1e6)
+            keep.append(due)
+            if not due:
+                continue
+            elapsed, eta, last, over = (at - start) / 1e6, None, int(at), bool(done >= total)
+            if done > 0 and elapsed > 0:
+                rate = done / elapsed if rate is None else (1 - alpha) * rate + alpha * done / elapsed
+                eta = float((total - done) / rate)
+            eta = 0.0 if over else eta
+            out.append((int(done), int(total), eta, clock(eta)))
+        state.update((start, done, rate, last, over))
+        told = pd.DataFrame(out, columns=["done", "total", "eta", "text"]).astype({"eta": "float64"})
+        yield pd.concat([rows[keep].drop(columns=["us", "units", "total"]).reset_index(drop=True), told], axis=1)
+
+    return df.groupBy(*keys).applyInPandasWithState(report, f"{schema}, {PROGRESS}", "start long, done long, rate double, last long, over boolean", "append", "NoTimeout")
+
+
 def eta(done: Column, total: Column, elapsed: Column) -> Column:
     """Remaining seconds at the rate so far; NULL before anything is done."""
     return F.when(done > 0, F.greatest(total - done, F.lit(0)) * elapsed / done)
