@@ -30,20 +30,22 @@ def top_edges(edges: DataFrame, k: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each node reaches. Labels spread along edges and jump to their own label's label,
-    so rounds grow with the logarithm of a path's length; each round is written to the shared folder."""
-    both = materialize(endpoints(edges), "graph-edges")
-    label = materialize(nodes.select("id", F.col("id").alias("component")), "labels")
+    """(id, component): the smallest id that each node reaches. Edges become stars: each node's larger neighbours are tied to its
+    least one, then its smaller ones, until nothing changes; a round is written to the shared folder, and what came before
+    the last one is read no more. Rounds grow with the logarithm of a path's length."""
+    state = lambda df: df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+    tied = materialize(edges.select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).where("u <> v").distinct(), "edges")
+    was = state(tied)
     for _ in range(max_rounds):
-        near = both.join(label.select(F.col("id").alias("other"), F.col("component").alias("c")), "other").groupBy(F.col("node").alias("id")).agg(F.min("c").alias("near"))
-        step = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = step.select(F.col("id").alias("j_id"), F.col("next").alias("jumped"))
-        new = step.join(jump, F.col("next") == F.col("j_id"), "left").select("id", "component", F.least("next", F.coalesce("jumped", "next")).alias("next"))
-        new = materialize(new, "labels")
-        changed = new.where("component <> next").limit(1).count()
-        label = new.select("id", F.col("next").alias("component"))
-        if not changed:
-            return label
+        both = tied.union(tied.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        tied = materialize(small.distinct(), "edges")
+        was, before = state(tied), was
+        if was == before:
+            return nodes.select("id").join(tied.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 

@@ -128,22 +128,30 @@ def huber_winsorized(s: DataFrame, keys: list[str], low: float, high: float, *,
     floor = lambda e: F.when(e > 0, e).otherwise(1e-10)
     state = lambda m, sd, done, used: F.struct(m.alias("m"), sd.alias("s"), done.alias("done"), used.alias("used"))
 
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  binds a value, so that it is computed once
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    none = pair(F.lit(0.0), F.lit(0.0))
+
     def step(a: Column, _) -> Column:
-        lo, hi = a["m"] - low * a["s"], a["m"] + high * a["s"]
-        add = lambda f: F.aggregate(x, F.lit(0.0), lambda acc, e: acc + f(e))
-        clamped = lambda e: F.least(F.greatest(e["v"], lo), hi)
-        m = safe_div(add(lambda e: clamped(e) * e["w"]), add(lambda e: e["w"]))
-        one = F.array(m)  # binds the new mean once
-
-        def deviation(mean: Column) -> Column:
-            u = lambda e: F.abs(clamped(e) - mean) / a["s"]
-            wt = lambda e: e["w"] * F.when(u(e) > c, c / u(e)).otherwise(1.0)
-            top = add(lambda e: wt(e) * (clamped(e) - mean) * (clamped(e) - mean))
-            return state(mean, floor(F.sqrt(F.coalesce(safe_div(top, add(wt)), F.lit(0.0)))), F.lit(False), a["used"] + 1)
-
-        new = F.transform(one, deviation)
-        judged = F.transform(new, lambda b: state(b["m"], b["s"], (F.abs(b["m"] - a["m"]) <= tolerance * F.greatest(F.lit(1.0), F.abs(a["m"]))) & (F.abs(b["s"] - a["s"]) <= tolerance * F.greatest(F.lit(1.0), F.abs(a["s"]))), b["used"]))
-        return F.when(a["done"], a).otherwise(judged[0])
+        def clamped(q: Column) -> Column:
+            return F.transform(x, lambda e: F.struct(F.least(F.greatest(e["v"], q["p"]), q["q"]).alias("v"), e["w"].alias("w")))
+
+        def located(y: Column) -> Column:
+            sums = F.aggregate(y, none, lambda t, e: pair(t["p"] + e["v"] * e["w"], t["q"] + e["w"]), lambda t: safe_div(t["p"], t["q"]))
+            return bound(sums, lambda mean: deviation(y, mean))
+
+        def deviation(y: Column, mean: Column) -> Column:
+            # u is how many deviations an element lies off, wt its Huber weight
+            far = F.transform(y, lambda e: F.struct((e["v"] - mean).alias("d"), (F.abs(e["v"] - mean) / a["s"]).alias("u"), e["w"].alias("w")))
+            far = F.transform(far, lambda e: F.struct(e["d"].alias("d"), (e["w"] * F.when(e["u"] > c, c / e["u"]).otherwise(1.0)).alias("w")))
+            spread = F.aggregate(far, none, lambda t, e: pair(t["p"] + e["w"] * e["d"] * e["d"], t["q"] + e["w"]), lambda t: safe_div(t["p"], t["q"]))
+            return bound(floor(F.sqrt(F.coalesce(spread, F.lit(0.0)))), lambda sd: judged(mean, sd))
+
+        def judged(m: Column, sd: Column) -> Column:
+            near = lambda new, old: F.abs(new - old) <= tolerance * F.greatest(F.lit(1.0), F.abs(old))
+            return state(m, sd, near(m, a["m"]) & near(sd, a["s"]), a["used"] + 1)
+
+        return F.when(a["done"], a).otherwise(bound(pair(a["m"] - low * a["s"], a["m"] + high * a["s"]), lambda q: bound(clamped(q), located)))
 
     begin = state(F.col("m0"), floor(F.col("s0")), F.lit(False), F.lit(0))
     fit = packed.withColumn("fit", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.operators import robust as R
+from lumenfold.operators.selection import beside, quantiles
 from lumenfold.plans.base import STACK_SQL, registry, rounded, stack
 
 QUERIES, SQL, query = registry()
@@ -199,13 +200,15 @@ def background_harmonize(spark, d):
 @query(_with("c AS (SELECT channel, median(value) AS med FROM s GROUP BY channel)") + " SELECT s.pixel, s.channel, round(avg(s.value - c.med), 6) AS value FROM s JOIN c USING (channel) GROUP BY ALL")
 def background_normalize(spark, d):
     s = stack(spark, d, "channel")
-    c = F.broadcast(s.groupBy("channel").agg(F.median("value").alias("med")))  # one row a channel
+    c = F.broadcast(quantiles(s, ["channel"], "value", {"med": 0.5}))  # one row a channel
     return rounded(s.join(c, "channel").groupBy("pixel", "channel").agg(F.avg(F.col("value") - F.col("med")).alias("value")))
 
 
 @query(_with() + " SELECT channel, round(min(value), 6) AS low, round(median(value), 6) AS median, round(max(value), 6) AS high, count(*) AS n FROM s GROUP BY channel")
 def channel_stats(spark, d):
-    return rounded(stack(spark, d, "channel").groupBy("channel").agg(F.min("value").alias("low"), F.median("value").alias("median"), F.max("value").alias("high"), F.count("value").alias("n")))
+    s = stack(spark, d, "channel")
+    told = s.groupBy("channel").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("n"))
+    return rounded(beside(told, s, ["channel"], "value", {"median": 0.5}))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.columns import safe_div
 from lumenfold.operators import normalize as N
 from lumenfold.operators.robust import clipped_stats
+from lumenfold.operators.selection import quantiles
 from lumenfold.plans.base import STACK_SQL, registry, rounded, stack
 from lumenfold.plans.combine import _clipped
 from lumenfold.session import table
@@ -177,5 +178,5 @@ def global_median_fallback(spark, d):
 
 @query(_with("p AS (SELECT channel, quantile_cont(value - 280, 0.001) AS q FROM s GROUP BY channel)") + " SELECT channel, round(CASE WHEN q < 0 THEN q ELSE 0 END, 6) AS shift FROM p")
 def coadd_background_shift(spark, d):
-    p = stack(spark, d, "channel").groupBy("channel").agg(F.percentile(F.col("value") - 280, F.lit(0.001)).alias("q"))
+    p = quantiles(stack(spark, d, "channel"), ["channel"], F.col("value") - 280, {"q": 0.001})
     return rounded(p.select("channel", F.when(F.col("q") < 0, F.col("q")).otherwise(0.0).alias("shift")))

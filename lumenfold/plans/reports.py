@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.columns import safe_div
+from lumenfold.operators.selection import beside, quantiles
 from lumenfold.plans.base import registry, rounded
-from lumenfold.session import table
+from lumenfold.session import materialize, table
 
 QUERIES, SQL, query = registry()
 TELEMETRY_SQL = "t AS (SELECT coalesce(nullif(trim(CASE WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END), ''), 'unknown') AS phase, value AS cpu, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS ram, ts FROM events)"
@@ -33,13 +34,12 @@ def telemetry_warnings(spark, d):
 
 @query("WITH a AS (SELECT l_orderkey AS y, l_linenumber AS x, l_extendedprice AS v FROM lineitem), b AS (SELECT l_orderkey AS y, l_linenumber AS x, l_extendedprice * (1 - l_discount) AS v FROM lineitem WHERE l_partkey % 50 <> 0), j AS (SELECT a.v AS va, b.v AS vb FROM (SELECT y, x, sum(v) AS v FROM a GROUP BY ALL) a FULL JOIN (SELECT y, x, sum(v) AS v FROM b GROUP BY ALL) b USING (y, x)) SELECT count(*) AS cells, count(*) FILTER (va IS NULL OR vb IS NULL) AS unmatched, count(*) FILTER (va <> vb) AS nonzero, round(max(abs(va - vb)), 4) AS max_diff, round(avg(abs(va - vb)), 4) AS mean_diff, round(quantile_cont(abs(va - vb), 0.99), 4) AS p99 FROM j")
 def run_compare(spark, d):
-    t = table(spark, d, "lineitem")
-    key = [F.col("l_orderkey").alias("y"), F.col("l_linenumber").alias("x")]
-    a = t.groupBy(*key).agg(F.sum("l_extendedprice").alias("va"))
-    b = t.where("l_partkey % 50 <> 0").groupBy(*key).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("vb"))
+    """Two runs cell by cell: both sums in one pass, and the exact share by selection."""
+    t, first, second = table(spark, d, "lineitem"), F.col("l_extendedprice"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    j = materialize(t.groupBy("l_orderkey", "l_linenumber").agg(F.sum(first).alias("va"), F.sum(second).alias("vb")), "cells")
     diff = F.abs(F.col("va") - F.col("vb"))
-    out = a.join(b, ["y", "x"], "full").agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("va").isNull() | F.col("vb").isNull(), 1)).alias("unmatched"), F.count(F.when(F.col("va") != F.col("vb"), 1)).alias("nonzero"), F.max(diff).alias("max_diff"), F.avg(diff).alias("mean_diff"), F.percentile(diff, F.lit(0.99)).alias("p99"))
-    return rounded(out, 4)
+    told = j.agg(F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("va").isNull() | F.col("vb").isNull(), 1)).alias("unmatched"), F.count(F.when(F.col("va") != F.col("vb"), 1)).alias("nonzero"), F.max(diff).alias("max_diff"), F.avg(diff).alias("mean_diff"))
+    return rounded(told.crossJoin(quantiles(j, [], diff, {"p99": 0.99})), 4)  # one row each
 
 
 @query("WITH a AS (SELECT o_orderpriority || '/' || o_orderstatus AS key, count(*) AS v FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_orderpriority || '/' || o_orderstatus AS key, count(*) AS v FROM orders WHERE o_custkey % 3 <> 1 GROUP BY 1) SELECT key, a.v AS before, b.v AS after FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v")
@@ -54,7 +54,8 @@ def weight_summary(spark, d):
     q = F.col("l_quantity")
     each = F.explode(F.array(F.struct(F.lit("raw").alias("name"), q.alias("v")), F.struct(F.lit("effective").alias("name"), (q * (1 - F.col("l_discount"))).alias("v"))))
     u = table(spark, d, "lineitem").select(each.alias("e")).select("e.name", "e.v")
-    return rounded(u.groupBy("name").agg(F.min("v").alias("low"), F.median("v").alias("median"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count("v").alias("rows")))
+    told = u.groupBy("name").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"), F.count("v").alias("rows"))
+    return rounded(beside(told, u, ["name"], "v", {"median": 0.5}))
 
 
 @query("SELECT label, count(*) AS elements, count(*) FILTER (v IS NOT NULL AND isfinite(v)) AS finite, round(min(v), 6) AS low, round(median(v), 6) AS median, round(max(v), 6) AS high FROM (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label")
@@ -62,13 +63,15 @@ def array_summary(spark, d):
     from lumenfold.functions.columns import finite
 
     v = table(spark, d, "embeddings").select("label", F.explode("embedding").alias("e")).withColumn("v", finite(F.col("e")))
-    return rounded(v.groupBy("label").agg(F.count(F.lit(1)).alias("elements"), F.count("v").alias("finite"), F.min("v").alias("low"), F.median("v").alias("median"), F.max("v").alias("high")))
+    told = v.groupBy("label").agg(F.count(F.lit(1)).alias("elements"), F.count("v").alias("finite"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return rounded(beside(told, v, ["label"], "v", {"median": 0.5}))
 
 
 @query("WITH n AS (SELECT role, conv_id, turn, try_cast(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE) AS v, length(text) AS size FROM conversations), s AS (SELECT role, count(*) AS lines, count(v) AS found, round(median(size), 6) AS median, round(quantile_cont(size, 0.95), 6) AS p95, max(size) AS longest FROM n GROUP BY role), l AS (SELECT role, string_agg(conv_id || ':' || turn, ' ' ORDER BY conv_id DESC, turn DESC) AS last FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC, size DESC) AS r FROM n) WHERE r <= 3 GROUP BY role) SELECT * FROM s JOIN l USING (role)")
 def log_regex_summary(spark, d):
     n = table(spark, d, "conversations").select("role", "conv_id", "turn", F.nullif(F.regexp_extract("text", "([0-9]+)", 1), F.lit("")).try_cast("double").alias("v"), F.length("text").alias("size"))
-    s = n.groupBy("role").agg(F.count(F.lit(1)).alias("lines"), F.count("v").alias("found"), F.median("size").alias("median"), F.percentile("size", F.lit(0.95)).alias("p95"), F.max("size").cast("long").alias("longest"))
+    s = n.groupBy("role").agg(F.count(F.lit(1)).alias("lines"), F.count("v").alias("found"), F.max("size").cast("long").alias("longest"))
+    s = beside(s, n, ["role"], "size", {"median": 0.5, "p95": 0.95})
     rank = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("conv_id"), F.desc("turn"), F.desc("size")))
     last = n.withColumn("r", rank).where("r <= 3").groupBy("role").agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn")), asc=False).alias("l"))
     text = F.array_join(F.transform("l", lambda e: F.concat(e["conv_id"].cast("string"), F.lit(":"), e["turn"].cast("string"))), " ")
