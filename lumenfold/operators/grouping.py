@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.session import materialize
+from lumenfold.session import materialize, ship
 
 
 def orientation_islands(items: DataFrame, group: str, angle: str, key: str, threshold: float) -> DataFrame:
@@ -76,3 +77,35 @@ def greedy_orientation(items: DataFrame, group: str, angle: str, key: str, thres
             break
     bucket = F.array_position(F.transform("_heads", near), True) - 1
     return held(heads).select(group, key, bucket.cast("int").alias("bucket"))
+
+
+def coverage_batches(items: DataFrame, group: str, key: str, cells: str, *, total: int, least: int, target: int, share: float) -> DataFrame:
+    """(group, key, batch): in order of the key, a group's batch closes when its items cover ``share`` of ``total`` cells (and are at
+    least ``least``), or are ``target``; a last batch under ``least`` that didn't close joins the one before. ``cells`` is an array
+    of what an item covers. Rows are read as a sorted stream of which a task keeps the open batch's cells alone, so a group of
+    any length needs no more; a null group is one."""
+    ship(items.sparkSession)
+    kinds = [items.schema[c].dataType.simpleString() for c in (group, key)]
+
+    def scan(batches):
+        at, batch, seen, n = None, 0, set(), 0
+        for b in batches:
+            rows = []
+            groups, found = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for g, c in zip(groups, found, strict=True):
+                if at is None or g != at[0]:
+                    at, batch, seen, n = (g,), 0, set(), 0
+                seen.update(c or ())
+                n += 1
+                closed = n >= least and len(seen) >= share * total or n >= target
+                rows.append((batch, closed))
+                if closed:
+                    batch, seen, n = batch + 1, set(), 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_())], names=[group, key, "batch", "closed"])
+
+    rows = items.select(group, key, cells).repartition(group).sortWithinPartitions(group, key)
+    made = materialize(rows.mapInArrow(scan, f"{group} {kinds[0]}, {key} {kinds[1]}, batch long, closed boolean"), "batches")
+    last = made.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.bool_or("closed").alias("closed"))
+    tail = last.where((F.col("batch") > 0) & ~F.col("closed") & (F.col("n") < least)).select(F.col(group).alias("t_group"), F.col("batch").alias("t_batch"))
+    j = made.join(tail, F.col(group).eqNullSafe(F.col("t_group")) & (F.col("batch") == F.col("t_batch")), "left")
+    return j.select(group, key, F.when(F.col("t_batch").isNotNull(), F.col("batch") - 1).otherwise(F.col("batch")).alias("batch"))

@@ -106,6 +106,29 @@ def merge(members: DataFrame, *, cap: int | None, target: int, limit: float, nei
         records = materialize(records.join(gone, "grp", "left_anti").unionByName(changed.select(*records.columns)), "records")
 
 
+def absorb(members: DataFrame, *, least: int, cap: int, reach: float = 180.0) -> DataFrame:
+    """Members with small groups (under ``least``) taken in by the nearest group of their mode, within the cap and ``reach``
+    degrees. Each round every small group asks its nearest; of requests that share a group, that of the smallest group (then
+    the nearest, then the lowest ids) is granted, so that no group is both taken in and takes in; centres are made anew. The
+    best request of all is granted, so rounds end."""
+    held = materialize(members.select("id", "grp", "mode", "ra", "dec"), "members")
+    records = materialize(describe(held), "records")
+    while True:
+        small = records.where(F.col("n") < least)
+        fits = (F.col("mode") == F.col("o_mode")) & (F.col("n") + F.col("o_n") <= cap)
+        asked = near(small, records.select("grp", "mode", "n", "vx", "vy", "vz"), reach, 1, fits).join(small.select("grp", "n"), "grp")
+        asked = materialize(asked.select(F.struct("n", "far", "grp", "other").alias("ask")), "asked")
+        best = asked.select(F.explode(F.array("ask.grp", "ask.other")).alias("at"), "ask").groupBy("at").agg(F.min("ask").alias("ask"))
+        granted = materialize(best.groupBy("ask").agg(F.count(F.lit(1)).alias("c")).where("c = 2").select("ask.grp", F.col("ask.other").alias("into")), "granted")
+        if granted.isEmpty():
+            return held
+        held = materialize(held.join(granted, "grp", "left").select("id", F.coalesce("into", "grp").alias("grp"), "mode", "ra", "dec"), "members")
+        taken = granted.select(F.col("into").alias("grp"))
+        changed = describe(held.join(taken, "grp", "left_semi"))
+        gone = granted.select(F.explode(F.array("grp", "into")).alias("grp"))
+        records = materialize(records.join(gone, "grp", "left_anti").unionByName(changed.select(*records.columns)), "records")
+
+
 def split(members: DataFrame, cap: int | None, overlap: float, least: int) -> DataFrame:
     """Members with groups over the cap cut into overlapping runs in order of position; a group is numbered anew by its old number
     and the run (grp * 2^20 + run), so numbers stay apart."""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators import grouping as G
-from lumenfold.operators import kernels
+from lumenfold.operators import merging
 from lumenfold.plans.base import registry, rounded
 from lumenfold.plans.spatial import ITEMS_SQL, items
-from lumenfold.session import ship
 
 QUERIES, SQL, query = registry()
 MODES_SQL = ITEMS_SQL + ", g AS (SELECT *, CASE id % 5 WHEN 0 THEN 'EQ' WHEN 1 THEN 'EQ' WHEN 2 THEN 'ALT_AZ' ELSE 'UNKNOWN' END AS mode, label // 2 AS grp FROM items)"
@@ -116,25 +114,21 @@ def orientation_greedy(spark, d):
 
 @query(None)
 def small_group_merge(spark, d):
-    """Small groups join the nearest within the cap, by mount signature; a row for each group, so the groups' own table is grouped, not items."""
-    ship(spark)
-    g = grouped(spark, d).groupBy("mode", "label").agg(F.avg("ra").alias("x"), F.avg("dec").alias("y"), F.count(F.lit(1)).alias("n"))
+    """Small groups are taken in by the nearest of their mount that has room; a row for each group that began."""
+    code = F.when(F.col("mode") == "EQ", 0).when(F.col("mode") == "ALT_AZ", 1).otherwise(2)
+    g = grouped(spark, d).withColumn("grp", (F.col("label") * 3 + code).cast("long"))
+    into = merging.absorb(g.select("id", "grp", "mode", "ra", "dec"), least=12, cap=60).select("id", F.floor(F.col("grp") / 3).cast("int").alias("into"))
+    return g.select("id", "mode", "label").join(into, "id").select("mode", "label", "into").distinct()
 
-    def merge(f: pd.DataFrame) -> pd.DataFrame:
-        into = kernels.merge_small({int(r.label): (r.x, r.y, int(r.n)) for r in f.itertuples()}, 12, 60)
-        return pd.DataFrame({"mode": f["mode"], "label": f["label"], "into": [into[int(k)] for k in f["label"]]})
 
-    return g.groupBy("mode").applyInPandas(merge, "mode string, label int, into int")
-
-
-@query(None)
+@query(
+    "WITH RECURSIVE " + ITEMS_SQL + ", c AS (SELECT label, id, list_transform(range(9), lambda k: (floor(ra / 45)::INT + k // 3) * 16 + floor((\"dec\" + 90) / 22.5)::INT + k % 3) AS cells, row_number() OVER (PARTITION BY label ORDER BY id) AS p FROM items),"
+    " r AS (SELECT label, p, id, 0 AS batch, 1 AS n, list_distinct(cells) AS seen FROM c WHERE p = 1 UNION ALL SELECT c.label, c.p, c.id, CASE WHEN r.n >= 5 AND len(r.seen) >= 0.92 * 80 OR r.n >= 20 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 5 AND len(r.seen) >= 0.92 * 80 OR r.n >= 20 THEN 1 ELSE r.n + 1 END,"
+    " CASE WHEN r.n >= 5 AND len(r.seen) >= 0.92 * 80 OR r.n >= 20 THEN list_distinct(c.cells) ELSE list_distinct(list_concat(r.seen, c.cells)) END FROM r JOIN c ON c.label = r.label AND c.p = r.p + 1),"
+    " l AS (SELECT label, batch, count(*) AS n, bool_or(n >= 5 AND len(seen) >= 0.92 * 80 OR n >= 20) AS closed FROM r GROUP BY label, batch) SELECT label, id, CASE WHEN r.batch > 0 AND NOT closed AND l.n < 5 THEN r.batch - 1 ELSE r.batch END::BIGINT AS batch FROM r JOIN l USING (label, batch)"
+)
 def coverage_batches(spark, d):
-    """Batches that close when a 16 x 16 grid is covered enough, in order of id within each group."""
-    ship(spark)
-
-    def split(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        cells = [{(int(x // 45) + a) * 16 + int((y + 90) // 22.5) + b for a in (0, 1, 2) for b in (0, 1, 2)} for x, y in zip(f["ra"], f["dec"], strict=True)]
-        return pd.DataFrame({"label": f["label"], "id": f["id"], "batch": kernels.coverage_batches(cells, 80, 5, 20, 0.92)})
-
-    return items(spark, d).select("label", "id", "ra", "dec").groupBy("label").applyInPandas(split, "label int, id long, batch int")
+    """Batches that close when a grid is covered enough, in order of id within each group."""
+    x, y = F.floor(F.col("ra") / 45).cast("int"), F.floor((F.col("dec") + 90) / 22.5).cast("int")
+    i = items(spark, d).withColumn("cells", F.array(*[(x + a) * 16 + y + b for a in range(3) for b in range(3)]))
+    return G.coverage_batches(i, "label", "id", "cells", total=80, least=5, target=20, share=0.92)

@@ -127,3 +127,46 @@ def test_debts_are_carried_to_farther_donors(spark):
         got[r["grp"]].add(r["id"])
     assert got[1] == got[2] == {*range(8), 20, 21}
     assert got[3] == set(range(20, 30))
+
+
+def brute_absorb(rows, least, cap):
+    rows, records = list(rows), describe(rows)
+    while True:
+        asks = []
+        for a, p in records.items():
+            if p["n"] < least:
+                far = sorted((round(angle(p["c"], q["c"]), 9), b) for b, q in records.items() if b != a and q["mode"] == p["mode"] and p["n"] + q["n"] <= cap)
+                asks += [(p["n"], far[0][0], a, far[0][1])] if far else []
+        best = {}
+        for ask in asks:
+            for k in ask[2:]:
+                best[k] = min(best.get(k, ask), ask)
+        into = {a[2]: a[3] for a in asks if best[a[2]] == best[a[3]] == a}
+        if not into:
+            return {r[0]: r[1] for r in rows}
+        rows = [(r[0], into.get(r[1], r[1]), *r[2:]) for r in rows]
+        records = describe(rows)
+
+
+def test_small_groups_are_taken_in(spark):
+    rows = sky(11, 200, 40)
+    got = {r["id"]: r["grp"] for r in M.absorb(spark.createDataFrame(rows, KIND).repartition(3), least=5, cap=14).collect()}
+    assert got == brute_absorb(rows, 5, 14)
+    sizes = Counter(got.values())
+    assert max(sizes.values()) <= 14
+    assert len(sizes) < 40
+
+
+def test_coverage_batches_are_the_fold_of_each_group(spark):
+    from lumenfold.operators import grouping, kernels
+
+    rng = random.Random(4)
+    rows = [(g, i, [rng.randrange(12) for _ in range(rng.randrange(4))]) for g, n in (("a", 300), ("b", 3), ("c", 31), (None, 17)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id long, cells array<int>").repartition(3)
+    got = {(r["g"], r["id"]): r["batch"] for r in grouping.coverage_batches(df, "g", "id", "cells", total=12, least=4, target=9, share=0.7).collect()}
+    want = {}
+    for g in ("a", "b", "c", None):
+        own = sorted((i, set(c)) for h, i, c in rows if h == g)
+        want |= {(g, i): b for (i, _), b in zip(own, kernels.coverage_batches([c for _, c in own], 12, 4, 9, 0.7), strict=True)}
+    assert got == want
+    assert max(got.values()) > 20
