@@ -6,10 +6,12 @@ images at once; nothing holds an image whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.session import materialize
+from lumenfold.session import materialize, ship
 
 # fixed values: they must equal those of the cropping that this one replaces
 CHROMA, EDGE, LEAST_BASE, AGAIN = 0.18, 24, 0.03, 0.25
@@ -117,3 +119,42 @@ def trim_cast(pixels: DataFrame, boxes: DataFrame, *, step: int = 3, least: int
     left = rows.drop("x0", "x1").join(held.select("image", "x0", "x1"), "image").where(F.col("x").between(F.col("x0"), F.col("x1") - 1))
     down = trimmed(left, {"y0": F.col("y") - F.col("y0"), "y1": F.col("y1") - 1 - F.col("y")})
     return applied(held, down, ("y0", "y1"))
+
+
+def feather(coverage: DataFrame, *, least: float = 3.0, share: float = 0.4, margin_percent: float = 5.0, decay: float = 1.0) -> DataFrame:
+    """(image, y, x, alpha) of coverage maps (image, y, x, cover): 0 where coverage is under the threshold (``least``, and ``share`` of
+    the image's most; if nothing passes, a quarter of the most, then anything), 1 from ``margin_percent`` of the shorter side
+    inside on, and between them a power of the distance to the nearest place without. Places that no row tells have none.
+
+    Distances are exact, in two passes: along columns by running places of the nearest, along rows, a row at a time, by the
+    least of what columns within the margin give."""
+    ship(coverage.sparkSession)
+    size = coverage.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.max("cover").alias("most"))
+    need = F.greatest(F.lit(float(least)), share * F.col("most"))
+    lower = F.greatest(0.25 * F.col("most"), F.lit(1.0))
+    size = size.select("image", "h", "w", F.when(F.col("most") >= need, need).when((F.col("most") > 0) & (F.col("most") >= lower), lower).otherwise(0.0).alias("need"), F.when(F.lit(margin_percent) <= 0, 0.0).otherwise(F.greatest(F.lit(1.0), margin_percent * 0.01 * F.least("h", "w"))).alias("margin"))
+    grid = size.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
+    j = grid.join(coverage.select("image", "y", "x", "cover"), ["image", "y", "x"], "left")
+    good = F.when(F.col("need") > 0, F.col("cover") >= F.col("need")).otherwise(F.col("cover") > 0)
+    j = j.select("image", "y", "x", "margin", F.coalesce(good, F.lit(False)).alias("good"))
+    along = Window.partitionBy("image", "x").orderBy("y")
+    bad = F.when(~F.col("good"), F.col("y"))
+    up = F.last(bad, True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(bad, True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    j = j.withColumn("far", F.least(F.col("y") - up, down - F.col("y")).cast("double"))
+
+    def across(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("x")
+        x, far, ok = t.column("x").to_numpy(), t.column("far").to_numpy(zero_copy_only=False), t.column("good").to_numpy(zero_copy_only=False)
+        margin = t.column("margin")[0].as_py()
+        square = np.where(np.isfinite(far), far, np.inf) ** 2
+        best = square.copy()
+        for k in range(1, min(len(x), int(np.ceil(margin)) + 1)):
+            best[k:] = np.minimum(best[k:], square[:-k] + k * k)
+            best[:-k] = np.minimum(best[:-k], square[k:] + k * k)
+        near = np.sqrt(best)
+        alpha = np.where(near >= margin, 1.0, np.clip(near / margin, 0, 1) ** (1 / max(decay, 1e-3))) if margin > 0 else np.ones(len(x))
+        return pa.table({"image": pa.array([key[0].as_py()] * len(x), key[0].type), "y": t.column("y"), "x": t.column("x"), "alpha": pa.array(np.where(ok, alpha, 0.0))})
+
+    kind = coverage.schema["image"].dataType.simpleString()
+    return j.groupBy("image", "y").applyInArrow(across, f"image {kind}, y long, x long, alpha double")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.columns import finite, safe_div
+from lumenfold.operators.selection import quantiles
+from lumenfold.session import materialize
 
 
 def samples(df: DataFrame, keys: dict[str, Column], value: Column, weight: Column | None = None) -> DataFrame:
@@ -192,3 +194,33 @@ def partial_final(s: DataFrame, keys: list[str], part: Column) -> DataFrame:
     """Mergeable sums by part, then the whole: what a stream's passes add up to."""
     parts = s.withColumn("part", part).groupBy(*keys, "part").agg(F.avg("value").alias("mean"), F.sum(F.when(F.col("value").isNotNull(), F.col("weight"))).alias("w"))
     return parts.groupBy(*keys).agg((F.sum(F.col("mean") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-6))).alias("value"), F.sum("w").alias("weight"), F.count(F.lit(1)).alias("parts"))
+
+
+def huber_bounded(s: DataFrame, keys: list[str], low: float, high: float, *, rounds: int = 10, huber: float | None = None, tolerance: float = 5e-4) -> DataFrame:
+    """As ``huber_winsorized``, for keys of any number of samples: start values by selection, then rounds of partial sums that are
+    joined back, so that no task holds a key's samples. A round is two aggregations over the keys that still move."""
+    c = max(low, high) if huber is None else huber
+    rows = materialize(s.where(F.col("value").isNotNull()).select(*keys, "value", F.col("weight").alias("w")), "samples")
+    m = quantiles(rows, keys, "value", {"m": 0.5})
+    floor = lambda e: F.when(e > 0, e).otherwise(1e-10)
+    off = quantiles(rows.join(m, keys).withColumn("off", F.abs(F.col("value") - F.col("m"))), keys, "off", {"d": 0.5})
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    state = m.join(off, keys).join(sizes, keys).select(*keys, "n", "mean", "m", floor(F.col("d") * 1.4826).alias("s"), F.lit(False).alias("done"), F.lit(0).alias("used"))
+    state = materialize(state, "locations")
+    v = F.least(F.greatest("value", F.col("m") - low * F.col("s")), F.col("m") + high * F.col("s"))
+    for _ in range(rounds):
+        moving = state.where("not done").select(*keys, "m", "s")
+        held = rows.join(moving, keys)
+        mean = held.groupBy(*keys).agg(safe_div(F.sum(v * F.col("w")), F.sum("w")).alias("m1"))
+        far = held.join(mean, keys).withColumn("d", v - F.col("m1")).withColumn("u", F.abs("d") / F.col("s"))
+        far = far.withColumn("h", F.col("w") * F.when(F.col("u") > c, c / F.col("u")).otherwise(1.0))
+        new = far.groupBy(*keys).agg(F.first("m1").alias("m1"), floor(F.sqrt(F.coalesce(safe_div(F.sum(F.col("h") * F.col("d") * F.col("d")), F.sum("h")), F.lit(0.0)))).alias("s1"))
+        j = state.join(new, keys, "left")
+        near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col(b)))
+        pick = lambda a, b: F.when(F.col("done") | F.col("s1").isNull(), F.col(b)).otherwise(F.col(a)).alias(b)
+        still = near("m1", "m") & near("s1", "s")
+        state = materialize(j.select(*keys, "n", "mean", pick("m1", "m"), pick("s1", "s"), (F.col("done") | F.coalesce(still, F.lit(True))).alias("done"), (F.col("used") + (~F.col("done")).cast("int")).alias("used")), "locations")
+        if state.where("not done").isEmpty():
+            break
+    cut = rows.join(state.select(*keys, "m", "s"), keys).groupBy(*keys).agg(F.count(F.when(F.col("value") < F.col("m") - low * F.col("s"), 1)).alias("clipped_low"), F.count(F.when(F.col("value") > F.col("m") + high * F.col("s"), 1)).alias("clipped_high"))
+    return state.join(cut, keys).select(*keys, F.when(F.col("n") >= 2, F.col("m")).otherwise(F.col("mean")).alias("value"), F.col("s").alias("sigma"), "n", F.col("used").alias("rounds"), "clipped_low", "clipped_high")

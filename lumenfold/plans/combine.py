@@ -127,6 +127,12 @@ def wsc_huber(spark, d):
     return rounded(R.huber_winsorized(stack(spark, d), K, 1.5, 1.5)).select("pixel", "value")
 
 
+@query(_huber_sql(2.0, 1.5).replace("pixel", "channel").replace("l_partkey AS channel, ", "", 1))
+def wsc_bounded(spark, d):
+    """The same location of a few hot keys, of which no task holds the samples."""
+    return rounded(R.huber_bounded(stack(spark, d, "channel"), ["channel"], 2.0, 1.5))
+
+
 @query(f"SELECT sum(clipped_low)::BIGINT AS clipped_low, sum(clipped_high)::BIGINT AS clipped_high, sum(n)::BIGINT AS valid, max(rounds) AS rounds, round(100.0 * sum(clipped_low + clipped_high) / sum(n), 6) AS rejected_pct FROM ({_huber_sql(2.0, 1.5)})")
 def wsc_stats(spark, d):
     f = R.huber_winsorized(stack(spark, d), K, 2.0, 1.5)

@@ -89,3 +89,16 @@ def cast_edge_trim(spark, d):
     zero = F.lit(0).cast("long")
     boxes = E.sizes(p).select("image", zero.alias("y0"), zero.alias("x0"), F.col("h").alias("y1"), F.col("w").alias("x1"))
     return E.trim_cast(p, boxes)
+
+
+@query(
+    "WITH c AS (SELECT l_returnflag AS image, l_partkey % 48 AS y, l_orderkey // 7 % 48 AS x, count(*) AS cover FROM lineitem WHERE l_partkey % 48 > 0 OR l_orderkey % 2 = 0 GROUP BY ALL), s AS (SELECT image, max(y) + 1 AS h, max(x) + 1 AS w, max(cover) AS most FROM c GROUP BY image),"
+    " t AS (SELECT *, greatest(3, 0.4 * most) AS need, greatest(1, 0.08 * least(h, w)) AS margin FROM s), g AS (SELECT t.image, margin, a.y, b.x, coalesce(c.cover, 0) >= need AS good FROM t, unnest(range(h)) a(y), unnest(range(w)) b(x) LEFT JOIN c ON c.image = t.image AND c.y = a.y AND c.x = b.x),"
+    " d AS (SELECT p.image, p.y, p.x, any_value(p.margin) AS margin, min(sqrt((p.y - q.y) * (p.y - q.y) + (p.x - q.x) * (p.x - q.x))) AS far FROM g p JOIN g q ON q.image = p.image AND NOT q.good AND abs(p.y - q.y) <= ceil(p.margin) AND abs(p.x - q.x) <= ceil(p.margin) WHERE p.good GROUP BY p.image, p.y, p.x)"
+    " SELECT g.image, g.y, g.x, round(CASE WHEN NOT good THEN 0 WHEN far IS NULL OR far >= g.margin THEN 1 ELSE pow(far / g.margin, 0.5) END, 6) AS alpha FROM g LEFT JOIN d USING (image, y, x)"
+)
+def coverage_feather(spark, d):
+    """Transparencies from coverage, feathered by the exact distance to what isn't covered."""
+    t = table(spark, d, "lineitem").where((F.col("l_partkey") % 48 > 0) | (F.col("l_orderkey") % 2 == 0))
+    c = t.groupBy(F.col("l_returnflag").alias("image"), (F.col("l_partkey") % 48).alias("y"), (F.floor(F.col("l_orderkey") / 7) % 48).alias("x")).agg(F.count(F.lit(1)).alias("cover"))
+    return E.feather(c, margin_percent=8.0, decay=2.0).select("image", "y", "x", F.round("alpha", 6).alias("alpha"))

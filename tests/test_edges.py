@@ -96,3 +96,34 @@ def test_erosion(spark, wrap):
     for r in E.eroded(cells, wrap).collect():
         got[r["cy"], r["cx"]] = True
     assert (got == want).all()
+
+
+def test_feather_against_brute_force_on_made_masks(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(200):
+        h, w = rng.integers(1, 14, 2)
+        cover = np.where(rng.random((h, w)) < rng.choice([0.05, 0.3, 0.8]), 0, rng.integers(3, 7, (h, w)))
+        shown = rng.random((h, w)) < 0.97
+        shown[-1, -1] = True  # an image is as large as its rows say
+        rows += [(k, y, x, int(cover[y, x])) for y in range(h) for x in range(w) if shown[y, x]]
+        cover = np.where(shown, cover, 0)
+        most = cover.max()
+        need = max(3.0, 0.4 * most)
+        good = cover >= need if most >= need else np.zeros_like(shown)
+        bad = np.argwhere(~good)
+        margin = max(1.0, 0.3 * min(h, w))
+        for y in range(h):
+            for x in range(w):
+                far = min((np.hypot(*(b - (y, x))) for b in bad), default=np.inf)
+                want[k, y, x] = 0.0 if not good[y, x] else 1.0 if far >= margin else (far / margin) ** 0.5
+    df = spark.createDataFrame(rows, "image int, y long, x long, cover long").repartition(4)
+    got = {(r["image"], r["y"], r["x"]): r["alpha"] for r in E.feather(df, margin_percent=30.0, decay=2.0).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
+def test_feather_falls_back_to_lower_thresholds(spark):
+    df = spark.createDataFrame([("low", 0, 0, 1.0), ("low", 0, 1, 2.0), ("tiny", 0, 0, 0.2), ("tiny", 0, 1, 0.0), ("none", 0, 0, 0.0)], "image string, y long, x long, cover double")
+    got = {(r["image"], r["x"]): r["alpha"] for r in E.feather(df, margin_percent=0.0).collect()}
+    assert got == {("low", 0): 1.0, ("low", 1): 1.0, ("tiny", 0): 1.0, ("tiny", 1): 0.0, ("none", 0): 0.0}

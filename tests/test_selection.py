@@ -54,3 +54,17 @@ def test_stars_find_components(spark):
     got = {r["id"]: r["component"] for r in graph.components(spark.range(n + 200), spark.createDataFrame(edges, "i long, j long")).collect()}
     assert got == {i: find(i) for i in range(n + 200)}
     assert graph.components(spark.range(0), spark.createDataFrame([], "i long, j long")).count() == 0
+
+
+def test_bounded_location_is_that_of_arrays(spark):
+    from lumenfold.operators import robust
+
+    rng = np.random.default_rng(6)
+    rows = [(k, float(v), float(w)) for k, n in ((1, 400), (2, 30), (3, 2), (4, 1)) for v, w in zip(np.where(rng.random(n) < 0.1, 90, rng.normal(10, 2, n)), rng.uniform(0.5, 2, n), strict=True)]
+    rows += [(5, 7.0, 1.0)] * 6 + [(1, None, 1.0)]
+    s = spark.createDataFrame(rows, "k int, value double, weight double").repartition(4)
+    cols = ["k", "value", "sigma", "n", "rounds", "clipped_low", "clipped_high"]
+    a, b = ({r["k"]: tuple(r)[1:] for r in f(s, ["k"], 2.0, 1.5).select(*cols).collect()} for f in (robust.huber_winsorized, robust.huber_bounded))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert b[k] == pytest.approx(a[k], rel=1e-9), k
