@@ -453,12 +453,13 @@ def scan_list(n, short, comp, block, bits, ends, boundary: int, percent: int, ev
     return np.concatenate(out_a or [empty]), np.concatenate(out_b or [empty])
 
 
-def _scanned(lists: DataFrame, boundary: int, percent: int, every: bool) -> DataFrame:
-    """(a, b) from lists (bucket, node, n, short, comp, bits); long ones are held block against block."""
+def _scanned(lists: DataFrame, bits: DataFrame, boundary: int, percent: int, every: bool) -> DataFrame:
+    """(a, b) from lists (bucket, node, n, short, comp); long ones are held block against block. Bitmaps (b_node, bits) come last,
+    so that they are sent once."""
     size = lists.groupBy(F.col("bucket").alias("z_bucket")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     rows = lists.join(size, F.col("bucket") == F.col("z_bucket"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "short", "comp", "block", "bits")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "short", "comp", "block")
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         """The pairs of whole runs; small ones all at once, others one by one."""
@@ -525,6 +526,7 @@ def _scanned(lists: DataFrame, boundary: int, percent: int, every: bool) -> Data
             yield pairs_of(pa.Table.from_batches(held))
         give_back()
 
+    rows = rows.join(bits, F.col("node") == F.col("b_node")).drop("b_node")
     rows = rows.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "node")
     return rows.mapInArrow(scan, "a binary, b binary").distinct()
 
@@ -543,15 +545,16 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
     if more is not None:
         star = star.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     star = materialize(_passing(materialize(star.distinct(), "to-leaders"), nodes, percent), "passing")
-    # what a scan of the lists gives before anything is decided, with pairs to leaders taken as links: the texts needed
-    guess = _components(star if light is None else star.unionByName(light))
+    # what a scan of the lists gives before anything is decided, with pairs to leaders taken as links: the texts needed. A
+    # node's least partner so far is its label, which parts some that are connected and never joins any that aren't
+    tied = star if light is None else star.unionByName(light)
+    guess = tied.groupBy(F.greatest("a", "b").alias("k_node")).agg(F.min(F.least("a", "b")).alias("root")).hint("merge")
     lists = found.where("scan").select("bucket", "node", "n", "short")
     lists = lists.join(guess, F.col("node") == F.col("k_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("k_node", "root")
     bits = nodes.select(F.col("node").alias("b_node"), "bits").hint("merge")
     mixed = lambda rows: rows.join(rows.groupBy(F.col("bucket").alias("v_bucket")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v_bucket").hint("merge"), F.col("bucket") == F.col("v_bucket"), "left_semi")
     lists = materialize(mixed(materialize(lists, "lists")), "mixed-lists")
-    with_bits = lambda rows: rows.join(bits, F.col("node") == F.col("b_node")).drop("b_node")
-    pairs = materialize(_scanned(with_bits(lists), boundary, percent, False), "scanned").unionByName(star).distinct()
+    pairs = materialize(_scanned(lists, bits, boundary, percent, False), "scanned").unionByName(star).distinct()
     sets = materialize(_sets(docs, _marks(pairs, nodes), text_col, width), "items")
     tried = materialize(decide(pairs, sets, percent), "decided")
     known = tried.where("links").select("a", "b")
@@ -563,7 +566,7 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
     turn, every = 0, False
     while True:
         now = lists.join(base, F.col("node") == F.col("k_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("k_node", "root")
-        again = materialize(_scanned(with_bits(mixed(materialize(now, "lists"))), boundary, percent, every), "scanned")
+        again = materialize(_scanned(mixed(materialize(now, "lists")), bits, boundary, percent, every), "scanned")
         known = tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")).hint("merge")
         new = materialize(again.join(known, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "untried")
         if new.isEmpty() and (every or again.isEmpty()):
