@@ -46,7 +46,7 @@ LEAST = 0.7  # of a box's area: few enough edges for a whole calibration
 @query(_with(PAIRS_SQL, "r AS (SELECT unnest([1.5, 1.1, 0.9, 0.5]) AS threshold)") + " SELECT threshold::DOUBLE AS threshold, count(*) AS pairs FROM r JOIN pairs ON fraction >= threshold GROUP BY threshold ORDER BY threshold DESC LIMIT 1")
 def calibration_ladder(spark, d):
     """The first threshold, from the top, that leaves pairs, from one pass over them; no overlap reaches the top rung."""
-    return C.ladder(pairs(spark, d), 1.5, (1.1, 0.9, 0.5))
+    return C.ladder(pairs(spark, d), 1.5, (1.1, 0.9, 0.5)).where("threshold is not null")
 
 
 FITS_SQL = _regression_sql(2.5, 6, 16, 8)
@@ -92,7 +92,10 @@ def _relax_sql(rounds: int = 8) -> str:
         parts.append(f"w{k} AS (SELECT node AS id, sum(w * g.gain * sc) / sum(w) AS wg, sum(w * (g.o + g.gain * u)) / sum(w) AS wo FROM tt JOIN g{k} g ON g.id = other GROUP BY node)")
         fixed = "wg IS NULL OR id = (SELECT node FROM ref)"
         parts.append(f"g{k + 1} AS (SELECT id, CASE WHEN {fixed} THEN gain ELSE least(greatest(0.6 * gain + 0.4 * wg, 0.01), 100) END AS gain, CASE WHEN {fixed} THEN o ELSE 0.6 * o + 0.4 * wo END AS o FROM g{k} LEFT JOIN w{k} USING (id))")
-    return "WITH " + ", ".join(parts) + f" SELECT id, round(gain, 5) AS gain, round(o, 4) + 0.0 AS \"offset\", 'solved-relaxation' AS status FROM g{rounds}"
+    medians = "SELECT s_suppkey AS id, round(coalesce(CASE WHEN med <> 0 THEN (SELECT median(med) FROM mm WHERE med > 0) / med END, 1), 5) AS gain, 0.0::DOUBLE AS \"offset\", 'global-median' AS status FROM supplier LEFT JOIN mm ON mm.id = s_suppkey"
+    parts.append("mm AS (SELECT id, median(value) AS med FROM samples GROUP BY id)")
+    solved = f"SELECT id, round(gain, 5) AS gain, round(o, 4) + 0.0 AS \"offset\", 'solved-relaxation' AS status FROM g{rounds}"
+    return "WITH " + ", ".join(parts) + f" {solved} WHERE EXISTS (SELECT 1 FROM e) UNION ALL {medians} WHERE NOT EXISTS (SELECT 1 FROM e)"
 
 
 def _solution(c):
@@ -119,7 +122,7 @@ def intertile_calibration(spark, d):
 
 @query(
     "WITH " + PAIR_FITS_SQL + ", u AS (SELECT i AS id, e.w FROM fits JOIN e USING (i, j) UNION ALL SELECT j, e.w FROM fits JOIN e USING (i, j)), c AS (SELECT id, sum(w) AS c FROM u GROUP BY id), wt AS (SELECT s_suppkey AS id, 1.0 + s_suppkey % 5 AS weight FROM supplier), md AS (SELECT quantile_disc(weight, 0.5) AS m FROM wt)"
-    " SELECT id AS anchor, round(coalesce(c, 0) * sqrt(weight / m), 4) AS score FROM wt LEFT JOIN c USING (id), md ORDER BY coalesce(c, 0) * sqrt(weight / m) DESC, id LIMIT 1"
+    " SELECT id AS anchor, round(coalesce(c, 0) * sqrt(weight / m), 4) AS score FROM wt LEFT JOIN c USING (id), md ORDER BY CASE WHEN (SELECT max(c) FROM c) > 0 THEN coalesce(c, 0) ELSE 1 END * sqrt(weight / m) DESC, id LIMIT 1"
 )
 def calibration_anchor(spark, d):
     """The tile that stays as it is: connected best, weighted by the root of its own weight."""

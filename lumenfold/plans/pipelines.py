@@ -301,12 +301,12 @@ def footprint_budget(spark, d):
     return n.select("size", F.when(F.col("size") <= 200, F.col("size")).when(F.col("size") <= 1000, 200).otherwise(100).cast("long").alias("budget"))
 
 
-@query(_with(MODES_SQL) + " SELECT label, CASE WHEN count(*) FILTER (mode = 'UNKNOWN') = 0 AND count(DISTINCT mode) > 1 THEN 'split' ELSE 'whole' END AS run, count(DISTINCT mode) AS modes FROM g GROUP BY label")
+@query(_with(MODES_SQL) + " SELECT id // 3 AS run_id, CASE WHEN count(*) FILTER (mode = 'UNKNOWN') = 0 AND count(DISTINCT mode) > 1 THEN 'split' ELSE 'whole' END AS run, count(DISTINCT mode) AS modes FROM g GROUP BY 1")
 def mount_run_split(spark, d):
     """Separate outputs only where every frame's mount is known and both occur."""
     g = grouped(spark, d)
     both = (F.count(F.when(F.col("mode") == "UNKNOWN", 1)) == 0) & (F.count_distinct("mode") > 1)
-    return g.groupBy("label").agg(F.when(both, "split").otherwise("whole").alias("run"), F.count_distinct("mode").alias("modes"))
+    return g.groupBy(F.floor(F.col("id") / 3).alias("run_id")).agg(F.when(both, "split").otherwise("whole").alias("run"), F.count_distinct("mode").alias("modes"))
 
 
 @query("SELECT page_id FROM pages WHERE page_id % 3 <> 0 OR md5(url) > '8'")

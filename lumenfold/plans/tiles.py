@@ -32,10 +32,10 @@ def again(df: DataFrame, name: str, kind: str = "parquet", **options) -> DataFra
     return df.sparkSession.read.format(kind).options(**options).schema(df.schema).load(path)
 
 
-@query(_with(STACK_SQL, "f AS (SELECT frame, count(DISTINCT channel) AS planes, max(x) AS width FROM s GROUP BY frame)", "r AS (SELECT planes, width FROM f ORDER BY frame LIMIT 1)") + " SELECT frame, f.planes, f.width FROM f JOIN r ON f.planes = r.planes AND f.width = r.width")
+@query(_with(STACK_SQL, "f AS (SELECT frame, count(DISTINCT channel) AS planes, max(x) AS width FROM s WHERE weight >= 49 GROUP BY frame)", "r AS (SELECT planes, width FROM f ORDER BY frame LIMIT 1)") + " SELECT frame, f.planes, f.width FROM f JOIN r ON f.planes = r.planes AND f.width = r.width")
 def shape_consistency(spark, d):
-    """Frames of the first frame's shape."""
-    f = stack(spark, d, "frame", "channel", "x").groupBy("frame").agg(F.count_distinct("channel").alias("planes"), F.max("x").alias("width"))
+    """Frames of the first frame's shape: planes and width of their heaviest samples, of which some have fewer."""
+    f = stack(spark, d, "frame", "channel", "x").where("weight >= 49").groupBy("frame").agg(F.count_distinct("channel").alias("planes"), F.max("x").alias("width"))
     first = f.agg(F.min_by(F.struct("planes", "width"), "frame").alias("r")).select("r.*")  # one row
     return f.join(F.broadcast(first), ["planes", "width"]).select("frame", "planes", "width")
 
@@ -53,12 +53,12 @@ def first_valid(spark, d):
     return table(spark, d, "events").where(ok).groupBy("event_type").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
 
 
-@query(_with(BOXES_SQL) + " SELECT mode, least(max(x1) - min(x0), max(y1) - min(y0)) < 256 OR least(max(x1) - min(x0), max(y1) - min(y0)) < 0.5 * avg((x1 - x0 + y1 - y0) / 2) AS degenerate FROM boxes GROUP BY mode")
+@query(_with(BOXES_SQL) + " SELECT id % 40 AS canvas, least(max(x1) - min(x0), max(y1) - min(y0)) < 256 OR least(max(x1) - min(x0), max(y1) - min(y0)) < 0.5 * avg((x1 - x0 + y1 - y0) / 2) AS degenerate FROM boxes GROUP BY id % 40")
 def degenerate_canvas(spark, d):
     """A canvas with a side under 256 or under half of its frames' mean side."""
     side = F.least(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0"))
     mean = F.avg((F.col("x1") - F.col("x0") + F.col("y1") - F.col("y0")) / 2)
-    return boxes(spark, d).groupBy("mode").agg(((side < 256) | (side < 0.5 * mean)).alias("degenerate"))
+    return boxes(spark, d).groupBy((F.col("id") % 40).alias("canvas")).agg(((side < 256) | (side < 0.5 * mean)).alias("degenerate"))
 
 
 STARS_SQL = "st AS (SELECT p_partkey AS id, p_size * 20.0 AS x, p_partkey % 1000 AS y, (p_partkey % 17) / 16.0 AS sharpness, (p_partkey % 11 - 5) / 10.0 AS roundness, p_retailprice AS flux FROM part)"
@@ -150,12 +150,12 @@ def coadd_dispatch(spark, d):
     return rounded(out)
 
 
-@query("SELECT lang, count(*) FILTER (source = 'wiki') > 0 AS grid FROM documents GROUP BY lang")
+@query("SELECT lang || '/' || source AS folder, count(*) FILTER (doc_id % 13 = 0) > 0 AS grid FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")
 def grid_mode_detection(spark, d):
-    """Whether a folder (a language) holds a plan (a document of that source)."""
-    docs = table(spark, d, "documents")
-    plan = docs.where("source = 'wiki'").select("lang").distinct().withColumn("has", F.lit(True))
-    return docs.select("lang").distinct().join(plan, "lang", "left").select("lang", F.coalesce("has", F.lit(False)).alias("grid"))
+    """Whether a folder (a language's source) holds a plan (every 13th document is one)."""
+    docs = table(spark, d, "documents").select(F.concat("lang", F.lit("/"), "source").alias("folder"), "doc_id").where("folder is not null")
+    plan = docs.where("doc_id % 13 = 0").select("folder").distinct().withColumn("has", F.lit(True))
+    return docs.select("folder").distinct().join(plan, "folder", "left").select("folder", F.coalesce("has", F.lit(False)).alias("grid"))
 
 
 @query(_with(STACK_SQL, "a AS (SELECT s_suppkey AS frame, (s_suppkey % 5) / 4.0 AS alpha FROM supplier WHERE s_suppkey % 3 > 0)") + " SELECT pixel, round(avg(CASE WHEN coalesce(alpha, 1) > 0 THEN value END), 6) AS value, round(avg(coalesce(alpha, 1)), 6) AS alpha FROM s LEFT JOIN a USING (frame) GROUP BY pixel")

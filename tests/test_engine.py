@@ -122,6 +122,19 @@ def test_others_run(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize(
+    ("name", "column", "outcomes"),
+    [("mount_run_split", "run", {"split", "whole"}), ("grid_mode_detection", "grid", {True, False}), ("degenerate_canvas", "degenerate", {True, False}), ("progress_reports", "finished", {True, False}), ("calibration_constraints", "reason", {"kept", "gain"})],
+)
+def test_both_outcomes_occur(spark, name, column, outcomes):
+    assert {r[column] for r in __spark_entry__.queries()[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()} == outcomes
+
+
+def test_some_frames_have_another_shape(spark):
+    kept = __spark_entry__.queries()["shape_consistency"](spark, SF).count()
+    assert 0 < kept < spark.read.parquet(f"{SF}/supplier.parquet").count()
+
+
 def test_touching_boxes(spark):
     b = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0), (2, 1.0, 2.0, 0.0, 1.0), (3, 0.5, 1.5, 0.5, 1.5), (4, None, 1.0, 0.0, 1.0)], "id int, x0 double, x1 double, y0 double, y1 double")
     assert {(r["i"], r["j"]) for r in spatial.overlap_pairs(b, 0.4).collect()} == {(1, 3), (2, 3)}
