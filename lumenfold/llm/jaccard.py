@@ -51,7 +51,7 @@ BLOCK = 1024
 #: Lists up to so many sets are looked at by sizes and places before bitmaps are fetched.
 SMALL = 32
 #: Rounds of a list's scan that give a forest; one that gives all that is left follows.
-ROUNDS = 4
+ROUNDS = 2
 #: Nodes that a worker remembers so as to send a set's lists once.
 SEEN = 200_000
 #: Texts whose sets are needed are picked by broadcast up to so many marks (8 bytes each), and by shuffle beyond.
@@ -545,10 +545,8 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
     if more is not None:
         star = star.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     star = materialize(_passing(materialize(star.distinct(), "to-leaders"), nodes, percent), "passing")
-    # what a scan of the lists gives before anything is decided, with pairs to leaders taken as links: the texts needed. A
-    # node's least partner so far is its label, which parts some that are connected and never joins any that aren't
-    tied = star if light is None else star.unionByName(light)
-    guess = tied.groupBy(F.greatest("a", "b").alias("k_node")).agg(F.min(F.least("a", "b")).alias("root")).hint("merge")
+    # what a scan of the lists gives before anything is decided, with pairs to leaders taken as links: the texts needed
+    guess = _components(star if light is None else star.unionByName(light))
     lists = found.where("scan").select("bucket", "node", "n", "short")
     lists = lists.join(guess, F.col("node") == F.col("k_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("k_node", "root")
     bits = nodes.select(F.col("node").alias("b_node"), "bits").hint("merge")
@@ -563,7 +561,7 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
     # a set that no pair has passed with yet was held against all of its lists, and won't be again
     ends = pairs.select(F.explode(F.array("a", "b")).alias("e_node")).distinct().hint("merge")
     lists = materialize(lists.select("bucket", "node", "n", "short").join(ends, F.col("node") == F.col("e_node"), "left_semi"), "lists")
-    turn, every = 0, False
+    turn, every, joined = 0, False, True
     while True:
         now = lists.join(base, F.col("node") == F.col("k_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("k_node", "root")
         again = materialize(_scanned(mixed(materialize(now, "lists")), bits, boundary, percent, every), "scanned")
@@ -577,12 +575,15 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
                 sets = materialize(sets.unionByName(_sets(docs, missing, text_col, width)).dropDuplicates(["s_node"]), "items")
             decided = materialize(decide(new, sets, percent), "decided")
             tried = tried.unionByName(decided)
-            links = links.unionByName(decided.where("links").select("a", "b"))
-            base = _components(links)
+            more = decided.where("links").select("a", "b")
+            joined = not more.isEmpty()
+            if joined:
+                links = links.unionByName(more)
+                base = _components(links)
             if every:
                 return base
         turn += 1
-        every = turn >= ROUNDS or new.isEmpty()
+        every = turn >= ROUNDS or new.isEmpty() or not joined
 
 
 def _marks(pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None = None) -> DataFrame:
