@@ -53,6 +53,7 @@ def first_valid(spark, d):
     return table(spark, d, "events").where(ok).groupBy("event_type").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
 
 
+# 256 pixels and half of a mean side are fixed values, and so are the star limits below: they must equal the originals'
 @query(_with(BOXES_SQL) + " SELECT id % 40 AS canvas, least(max(x1) - min(x0), max(y1) - min(y0)) < 256 OR least(max(x1) - min(x0), max(y1) - min(y0)) < 0.5 * avg((x1 - x0 + y1 - y0) / 2) AS degenerate FROM boxes GROUP BY id % 40")
 def degenerate_canvas(spark, d):
     """A canvas with a side under 256 or under half of its frames' mean side."""
