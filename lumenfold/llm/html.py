@@ -3,9 +3,9 @@
 A page becomes a stream of tags (with the words of their class, id and role) and runs of text, nested as its elements
 are. Streams of one host are aligned, the first with the next, the result with the next and so on: what follows itself
 is a repeated group, what only one side has is an optional one, and differing texts become one text slot. A slot keeps
-how often and on how many pages it was seen, its length, how much of it was link text, and the texts that keep coming
-back (a Misra-Gries summary of ``KEPT`` texts: any text of more than 1/``KEPT`` of a slot's runs is in it). The result,
-a union-free expression over the host's pages, is the host's wrapper.
+how often and on how many pages it was seen, its length, and how much of it was link text. The result, a union-free
+expression over the host's pages, is the host's wrapper. On how many pages a place shows each text and links to each
+target is counted beside it, for all of them, by (host, place, digest).
 
 What the wrapper shows decides, before the page's own words do:
 
@@ -34,6 +34,7 @@ other input columns are not read.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import json
 import re
 
@@ -47,8 +48,8 @@ BROADCAST_BYTES = 16_000_000
 SALTS = 32
 #: Pages that are copies of others are told by broadcast up to so many.
 BROADCAST_COPIES = 200_000
-#: Longest group that folding looks for, in items; texts kept of a slot; nesting told apart.
-PERIOD, KEPT, DEPTH = 12, 64, 80
+#: Longest group that folding looks for, in items; nesting told apart.
+PERIOD, DEPTH = 12, 80
 #: Share of a host's runs of text above which repeated texts mean copied pages.
 COPIES = 0.6
 #: Items above which two lists of children are aligned by name alone.
@@ -251,8 +252,8 @@ def digest(text: str) -> str:
     return xxhash.xxh64_hexdigest(text)
 
 
-# Items of a wrapper: a slot ["#", runs, characters, of them link text, pages, {text's digest: pages}, {link target's digest:
-# pages}], where a page that is one of k copies counts a k-th, an element
+# Items of a wrapper: a slot ["#", runs, characters, of them link text, pages], where a page that is one of k copies counts
+# a k-th, an element
 # ["<", name, pages, repeated, items], a group ["(", "", pages, repeated, items]. An item on fewer pages than what is
 # around it is optional.
 
@@ -261,13 +262,13 @@ def tokens(page: str, weight: float = 1) -> list:
     """The page's own wrapper: its elements that hold text, what follows itself folded. A copy of other pages weighs less."""
     top: list = []
     open_: list[list] = []
-    for place, same, text, linked, target in runs(page):
+    for place, same, text, linked, _ in runs(page):
         del open_[same:]
         for e in place[same:]:
             items: list = []
             (open_[-1] if open_ else top).append(["<", e, weight, False, items])
             open_.append(items)
-        (open_[-1] if open_ else top).append(["#", weight, weight * len(text), weight * linked, weight, {digest(text): weight}, {digest(target): weight} if target else {}])
+        (open_[-1] if open_ else top).append(["#", weight, weight * len(text), weight * linked, weight])
 
     def folded(items: list) -> list:
         for x in items:
@@ -306,21 +307,10 @@ def fold(items: list) -> list:
     return items
 
 
-def kept(a: dict[str, int], b: dict[str, int], pages: bool) -> dict[str, int]:
-    """Both summaries in one: counts add up over pages, and are a page's own within it."""
-    out = dict(a)
-    for k, n in b.items():
-        out[k] = out.get(k, 0) + n if pages else max(out.get(k, 0), n)
-    if len(out) > KEPT:
-        floor = sorted(out.values(), reverse=True)[KEPT]
-        out = {k: n - floor for k, n in out.items() if n > floor}
-    return out
-
-
 def merge(a: list, b: list, pages: bool) -> list:
     """The item over both, which are of different pages or of one."""
     if a[0] == "#":
-        return ["#", a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] + b[4] if pages else max(a[4], b[4]), kept(a[5], b[5], pages), kept(a[6], b[6], pages)]
+        return ["#", a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] + b[4] if pages else max(a[4], b[4])]
     return [a[0], a[1], a[2] + b[2] if pages else max(a[2], b[2]), a[3] or b[3], align(a[4], b[4], pages)]
 
 
@@ -393,8 +383,10 @@ def expression(items: list, pages: int) -> str:
     return " ".join(out)
 
 
-def rules(items: list, pages: int) -> dict:
-    """What the wrapper of ``pages`` pages tells beyond names: {"roles": {place: role}, "fixed": {place: digests}}."""
+def rules(items: list, pages: float, links: dict[int, float], texts: dict[int, dict[str, float]]) -> dict:
+    """What the wrapper of ``pages`` pages tells beyond names: {"roles": {place: role}, "fixed": {place: digests}}. By the
+    place's mark, ``links`` are the pages with link targets that come back, summed over targets, ``texts`` the pages of each
+    text that enough pages have (``seen``)."""
     slots: dict[tuple[str, ...], list] = {}
     mass: dict[tuple[str, ...], int] = {}
     headed: set[tuple[str, ...]] = set()
@@ -403,11 +395,8 @@ def rules(items: list, pages: int) -> dict:
         total = 0
         for x in found:
             if x[0] == "#":
-                s = slots.setdefault(place, [0, 0, 0, False, {}, {}])
+                s = slots.setdefault(place, [0, 0, 0, False])
                 s[0], s[1], s[2], s[3] = s[0] + x[1], s[1] + x[2], s[2] + x[3], s[3] or repeated
-                for side, at in ((x[5], 4), (x[6], 5)):
-                    for k, n in side.items():
-                        s[at][k] = s[at].get(k, 0) + n
                 total += x[2] - x[3]
             elif x[0] == "(":
                 total += walk(x[4], place, True)
@@ -429,20 +418,20 @@ def rules(items: list, pages: int) -> dict:
         if by_name and noise(e, False) and 2 * mass.get(place, 0) > whole:
             plain.add("/".join(place))
     roles, fixed, runs_, repeats = {}, {}, 0, 0
-    for place, (n, chars, linked, repeated, texts, targets) in slots.items():
+    for place, (n, chars, linked, repeated) in slots.items():
         key, was = "/".join(place), role(place)
         now = role(place, frozenset(plain)) if plain else was
         tag = place[-1].partition(".")[0] if place else ""
         if now == "body" and repeated and n >= 3 and tag not in ("p", *HEADINGS) and 10 * linked >= 7 * chars and chars < 60 * n:
             # a menu's links lead to the same places from page to page, those of a list that is the page's own don't
-            if 2 * sum(c for c in targets.values() if c > 1.5) >= n:
+            if 2 * links.get(place_mark(place), 0) >= n - 1e-6:
                 now = "noise"
         if now != was:
             roles[key] = now
         runs_ += n if now != "noise" else 0
         if now != "body":
             continue  # in the article itself a text that comes back is still its own
-        same = {k: c for k, c in texts.items() if c >= max(3, pages / 2) - 1e-6}
+        same = texts.get(place_mark(place), {})
         if 2 * sum(same.values()) < n:  # mostly the pages' own text: there only what nearly all of them have isn't
             same = {k: c for k, c in same.items() if c >= max(3, pages * 9 / 10) - 1e-6}
         if same:
@@ -452,14 +441,47 @@ def rules(items: list, pages: int) -> dict:
 
 
 _ROLES: dict[tuple[str, ...], str] = {}
+_MARKS: dict[tuple[str, ...], int] = {}
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def place_mark(place: tuple[str, ...]) -> int:
+    import xxhash
+
+    if place not in _MARKS:
+        if len(_MARKS) > 50_000:
+            _MARKS.clear()
+        _MARKS[place] = _signed(xxhash.xxh64_intdigest("/".join(place)))
+    return _MARKS[place]
+
+
+def marks(found: list[tuple]) -> set[tuple[bool, int, int]]:
+    """(whether a link's target, place, digest) of the runs of a page, each once."""
+    import xxhash
+
+    out = set()
+    for place, _, text, _, target in found:
+        at = place_mark(place)
+        out.add((False, at, _signed(xxhash.xxh64_intdigest(text))))
+        if target:
+            out.add((True, at, _signed(xxhash.xxh64_intdigest(target))))
+    return out
 
 
 def extract(page: str | None, told: dict) -> str:
     """The page's text, by its host's rules (``rules``; {} without any)."""
+    return text_of(runs(page or ""), told)
+
+
+def text_of(page, told: dict) -> str:
+    """As ``extract``, from the page's runs."""
     roles, fixed = told.get("roles") or {}, told.get("fixed") or {}
     found: dict[str, list[str]] = {"article": [], "body": []}
     by_name: list[str] = []
-    for place, _, text, _, _ in runs(page or ""):
+    for place, _, text, _, _ in page:
         if len(_ROLES) > 50_000:
             _ROLES.clear()
         if place not in _ROLES:
@@ -507,20 +529,54 @@ def _joined(batches):
         yield _rows(done)
 
 
-def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, pages): wrapper as JSON, from every page of the host; pages of one text by name weigh one together."""
+def page_texts(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(host, text, mark, marks) of each page, where text is a digest of its text by name and ``marks`` are what its places show;
+    and (m_host, m_mark, copies) of the pages that are several of one text."""
     ship(pages.sparkSession)
 
     def texts(batches):
         for b in batches:
-            found = [extract(p.as_py(), {}) for p in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(t) if t else None for t in found], pa.string()), b.column(2)], names=["host", "text", "mark"])
+            found = [list(runs(p.as_py() or "")) for p in b.column(1)]
+            text = [text_of(f, {}) for f in found]
+            shown = [marks(f) for f in found]
+            link, place, own = zip(*[m for s in shown for m in s], strict=True) if any(shown) else ((), (), ())
+            parts = pa.StructArray.from_arrays([pa.array(link, pa.bool_()), pa.array(place, pa.int64()), pa.array(own, pa.int64())], names=["link", "place", "digest"])
+            ends = pa.array([0, *itertools.accumulate(map(len, shown))], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(t) if t else None for t in text], pa.string()), b.column(2), pa.ListArray.from_arrays(ends, parts)], names=["host", "text", "mark", "marks"])
 
     mark = F.xxhash64(html_col).alias("mark")
-    own_text = materialize(pages.select(host_of(url_col).alias("host"), html_col, mark).mapInArrow(texts, "host string, text string, mark long"), "page-texts").where("text is not null")
+    kind = "host string, text string, mark long, marks array<struct<link: boolean, place: long, digest: long>>"
+    shown = materialize(pages.select(host_of(url_col).alias("host"), html_col, mark).mapInArrow(texts, kind), "page-texts")
+    own_text = shown.select("host", "text", "mark").where("text is not null")
     copies = own_text.groupBy(F.col("host").alias("c_host"), F.col("text").alias("c_text")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copies = own_text.join(copies.hint("merge"), (F.col("host") == F.col("c_host")) & (F.col("text") == F.col("c_text"))).select(F.col("host").alias("m_host"), F.col("mark").alias("m_mark"), "copies").distinct()
-    copies = materialize(copies, "copied-pages")
+    return shown, materialize(copies, "copied-pages")
+
+
+def _with_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` (host, mark, ...) with copies, null where a page is alone."""
+    small = copies.count() <= BROADCAST_COPIES
+    return rows.join(F.broadcast(copies) if small else copies.hint("merge"), (F.col("host") == F.col("m_host")) & (F.col("mark") == F.col("m_mark")), "left")
+
+
+def seen(shown: DataFrame, copies: DataFrame, found: DataFrame) -> DataFrame:
+    """(s_host, seen) for the hosts of ``found`` (host, wrapper, pages): of each place the pages with link targets that come back,
+    summed, and each text that at least three of its pages and half of them have. All texts of all pages are counted; what is
+    given of a host is bounded by its places and by twice the texts of a page."""
+    rows = _with_copies(shown.select("host", "mark", "marks"), copies)
+    one = rows.select("host", F.explode("marks").alias("m"), F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
+    count = one.groupBy("host", "m.link", "m.place", "m.digest").agg(F.round(F.sum("weight"), 6).alias("n")).where("n > 1.5")
+    links = count.where("link").groupBy("host", "link", "place").agg(F.lit(0).cast("long").alias("digest"), F.sum("n").alias("n"))
+    texts = count.where("not link and n >= 3").join(found.select(F.col("host").alias("p_host"), "pages").hint("merge"), F.col("host") == F.col("p_host"))
+    texts = texts.where(F.col("n") >= F.col("pages") / 2 - 1e-6).select("host", "link", "place", "digest", "n")
+    return links.unionByName(texts).groupBy(F.col("host").alias("s_host")).agg(F.collect_list(F.struct("link", "place", "digest", "n")).alias("seen"))
+
+
+def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", copies: DataFrame | None = None) -> DataFrame:
+    """(host, wrapper, pages): wrapper as JSON, from every page of the host; pages of one text by name weigh one together."""
+    ship(pages.sparkSession)
+    if copies is None:
+        copies = page_texts(pages, url_col=url_col, html_col=html_col)[1]
 
     def own(batches):
         found: dict[str, tuple[list, int]] = {}
@@ -537,9 +593,7 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
             yield _rows([(h, *v) for h, v in found.items()])
 
     kind = "host string, wrapper string, pages double"
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), mark)
-    small = copies.count() <= BROADCAST_COPIES
-    rows = rows.join(F.broadcast(copies) if small else copies.hint("merge"), (F.col("host") == F.col("m_host")) & (F.col("mark") == F.col("m_mark")), "left")
+    rows = _with_copies(pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("mark")), copies)
     out = rows.select("host", "html", "copies").mapInArrow(own, kind)
     for salted in (True, False):
         salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).cast("string") if salted else F.lit("")
@@ -554,12 +608,23 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     def tell(batches):
         for b in batches:
-            told = [rules(json.loads(w), n) for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            told = []
+            for wrapper, n, own in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                links, texts = {}, {}
+                for m in own or ():
+                    if m["link"]:
+                        links[m["place"]] = m["n"]
+                    else:
+                        texts.setdefault(m["place"], {})[f"{m['digest'] % (1 << 64):016x}"] = m["n"]
+                told.append(rules(json.loads(wrapper), n, links, texts))
             rows = [(h, json.dumps(t)) for h, t in zip(b.column(0).to_pylist(), told, strict=True) if t["roles"] or t["fixed"]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["w_host", "told"])
 
-    found = materialize(wrappers(pages, url_col=url_col, html_col=html_col).mapInArrow(tell, "w_host string, told string"), "wrappers")
+    shown, copies = page_texts(pages, url_col=url_col, html_col=html_col)
+    found = materialize(wrappers(pages, url_col=url_col, html_col=html_col, copies=copies), "wrappers")
+    found = found.join(seen(shown, copies, found).hint("merge"), F.col("host") == F.col("s_host"), "left").select("host", "wrapper", "pages", "seen")
+    found = materialize(found.mapInArrow(tell, "w_host string, told string"), "rules")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     size = found.agg(F.sum(F.length("told") + F.length("w_host"))).first()[0] or 0

@@ -593,6 +593,17 @@ def test_a_list_of_own_links_is_no_menu(spark):
     assert extracted(spark, pages) == {i: "\n".join([f"Issue {i}", *(f"Paper {k} of {i}" for k in range(5))]) for i in range(5)}
 
 
+def test_a_text_of_half_the_pages_is_counted_among_many(spark):
+    note = lambda i: "Get our letter" if i % 2 else f"Note of page {i}"
+    pages = [(i, "https://many.example/", f"<div><h1>Title {i}</h1><p>Own words {i}</p><div class='z'>{note(i)}</div></div>") for i in range(200)]
+    assert extracted(spark, pages) == {i: f"Title {i}\nOwn words {i}" + ("" if i % 2 else f"\nNote of page {i}") for i in range(200)}
+
+
+def test_a_menu_of_many_links_is_counted_whole(spark):
+    page = lambda i: "<div><h1>Title {0}</h1><p>Own words {0}</p></div><ul class='z'>{1}</ul>".format(i, "".join(f"<li><a href='/{k}'>Go to {k} from {i}</a></li>" for k in range(i % 2, 200, 2)))
+    assert extracted(spark, [(i, "https://menu.example/", page(i)) for i in range(6)]) == {i: f"Title {i}\nOwn words {i}" for i in range(6)}
+
+
 def test_ids_of_pages_leave_the_wrapper_small(spark):
     one = lambda i: f"<body class='postid-{i}'><div class='box'>Get our letter today</div><div id='post-{i}' class='post-{i} entry'><h1>Title {i}</h1><p>Own words {i}</p></div></body>"
     size = {}
