@@ -11,14 +11,16 @@ key of g sets gives g - 1 links, and none has to be looked at again.
 hash); a pair that shares ``least`` of them shares one among the first n - least + 1 of each, so a list holds the sets that
 have a shingle among those. Of a list, each set is first held against its leader; a list whose sets are then not all of
 one component is scanned pair by pair across components, in blocks of ``BLOCK`` sets, so that a long list is many tasks.
-A scan drops no pair that may link: sizes, places in the prefix, and parity bitmaps decide (a bit is the parity of the
-shingles that fall on it, so bitmaps differ in no more bits than the sets in shingles). It gives a spanning forest of
+A scan drops no pair that may link: sizes, places in the prefix (behind the first shingle that a pair shares, both must have
+what they must share), and parity bitmaps decide (a bit is the parity of the shingles that fall on it, so bitmaps differ in
+no more bits than the sets in shingles). It gives a spanning forest of
 the pairs that pass, not all of them; exact sets decide each, components are made anew, and scans go on until they give
 nothing new; the last gives every pair that still passes. Light sets of nearly the boundary's size are in the lists too,
 for heavy partners.
 
 The boundary minimises, over a bounded sample of texts, the subsets of light sets plus the entries and scanned lists of
-heavy ones. The sample also tells which shingles are frequent. It affects cost alone, never a result.
+heavy ones. Which shingles are frequent is counted on Spark over every ``COUNTED``-th text, a share of the table, so that
+lists don't grow with it; of more than ``MOST`` the rarer ones aren't told. Both affect cost alone, never a result.
 
 Sets are told apart by 88 bits, shingles by 64 (XXH64 of the UTF-8 text), lists by 40. Equal sets are one node.
 
@@ -42,8 +44,10 @@ from lumenfold.llm import simhash
 from lumenfold.llm.encoding import give_back
 from lumenfold.session import materialize, ship
 
-#: Distinct texts of the sample, the smallest hashes kept of each, and how often a shingle in it is frequent.
-SAMPLE, KEPT, OFTEN = 2048, 1024, 4
+#: Distinct texts of the sample, and the smallest hashes kept of each.
+SAMPLE, KEPT = 2048, 1024
+#: Of so many texts the shingles of one are counted; how often one is frequent, and how many are told (16 bytes each).
+COUNTED, OFTEN, MOST = 4, 4, 1 << 20
 #: The largest boundary that is considered.
 LIGHT = 20
 #: Sets of a list that one task holds against each other.
@@ -136,11 +140,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def short_size(n: int, percent: int) -> int:
-    """Places among which a set has the first shingle that it shares with a partner that is no smaller."""
-    return n - least(n, n, percent) + 1
-
-
 @cache
 def _dropped(n: int, k: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(n), k)), np.int64).reshape(comb(n, k), k)
@@ -166,8 +165,39 @@ def subset_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys[0]).view(np.int64), np.concatenate(keys[1]).view(np.int64), np.concatenate(ts)
 
 
+def _frequent(docs: DataFrame, text_col: str, width: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and how often each is in ``share`` of 2 ** 30 texts. Of a set its first hashes are counted,
+    twice as many as a prefix has: the others are late in the order anyway."""
+
+    def scan(batches):
+        seen: set[int] = set()
+        for b in batches:
+            new = [i for i, m in enumerate(b.column(1).to_pylist()) if not (m in seen or seen.add(m))]
+            if len(seen) > SEEN:
+                seen.clear()
+            sets = [shingles(b.column(0)[i].as_py(), width) for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array([s[: 16 + 2 * len(s) // 5].view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["items"])
+        give_back()
+
+    mark = F.xxhash64(text_col)
+    texts = docs.select(F.col(text_col).alias("text"), mark.alias("mark")).where(F.pmod("mark", F.lit(1 << 30)) < share)
+    counted = texts.mapInArrow(scan, "items array<long>").select(F.explode("items").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    counted = materialize(counted, "frequent")
+    bound, told = OFTEN, 0
+    for r in counted.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).count().orderBy(F.desc("n")).collect():  # at most 4096 rows
+        told += r["count"]
+        if told > MOST:
+            bound = r["n"] + 1
+            break
+    got = counted.where(F.col("n") >= bound).toArrow()
+    x, n = got.column("x").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
 def plan(docs: DataFrame, text_col: str, width: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(frequent shingles, sorted; how often each is in the sample; the boundary)."""
+    """(frequent shingles, sorted; how often each was counted; the boundary)."""
+    ship(docs.sparkSession)
     total = docs.count()
     mark = F.xxhash64(text_col)
     share = min(1 << 30, (SAMPLE << 30) // max(1, total))
@@ -183,8 +213,7 @@ def plan(docs: DataFrame, text_col: str, width: int, percent: int) -> tuple[np.n
     if not sets:
         return np.empty(0, np.uint64), np.empty(0, np.int64), 0
     values, count = np.unique(np.concatenate([s for _, s in sets]), return_counts=True)
-    often = count >= OFTEN
-    frequent, times = values[often], count[often]
+    frequent, times = _frequent(docs, text_col, width, max(share, (1 << 30) // COUNTED))
     more = total / len(got)
     light, heavy = np.zeros(LIGHT + 1), np.zeros(LIGHT + 1)
     for n, s in sets:
@@ -197,7 +226,7 @@ def plan(docs: DataFrame, text_col: str, width: int, percent: int) -> tuple[np.n
     return frequent, times, int(cost.argmin())
 
 
-SKETCH = "id {0}, mark long, node binary, n int, bits binary, low long, lists array<long>, short int, k1 array<long>, k2 array<long>, ts array<int>, fp long"
+SKETCH = "id {0}, mark long, node binary, n int, bits binary, low long, lists array<long>, k1 array<long>, k2 array<long>, ts array<int>, fp long"
 
 
 def sketches(docs: DataFrame, how: tuple[np.ndarray, np.ndarray, int], id_col: str, text_col: str, width: int, percent: int, prints: bool = False) -> DataFrame:
@@ -224,14 +253,14 @@ def sketches(docs: DataFrame, how: tuple[np.ndarray, np.ndarray, int], id_col: s
                         lists = ((first & ~_LOW) | np.uint64(int.from_bytes(node[:3], "big"))).view(np.int64)
                     if n <= boundary:
                         subsets = subset_keys(own, percent)
-                rows.append((node, n, parity(own), int.from_bytes(node[3:], "big", signed=True), lists, short_size(n, percent) if n else 0, *subsets, fingerprint(all_) if prints else 0))
+                rows.append((node, n, parity(own), int.from_bytes(node[3:], "big", signed=True), lists, *subsets, fingerprint(all_) if prints else 0))
             if len(seen) > SEEN:
                 seen.clear()
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 10
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
             longs = pa.list_(pa.int64())
-            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), longs, pa.int32(), longs, longs, pa.list_(pa.int32()), pa.int64()]
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), longs, longs, longs, pa.list_(pa.int32()), pa.int64()]
             made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=["id", "mark", "node", "n", "bits", "low", "lists", "short", "k1", "k2", "ts", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *made], names=["id", "mark", "node", "n", "bits", "low", "lists", "k1", "k2", "ts", "fp"])
         give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -248,7 +277,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def members(sketched: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(bucket, node, n, short, leader, leader_n, scan) of the lists of several sets, read as a sorted stream. Of small lists,
+    """(bucket, node, n, place, leader, leader_n, scan) of the lists of several sets, read as a sorted stream. Of small lists,
     sets without a partner that they could link with aren't given, and ``scan`` is false where the leader is the only one."""
 
     def scan(batches):
@@ -287,19 +316,21 @@ def members(sketched: DataFrame, boundary: int, percent: int) -> DataFrame:
             named = lambda i: [int(a).to_bytes(3, "big") + int(c).to_bytes(8, "big") for a, c in zip((x[i].view(np.uint64) & _LOW).tolist(), y[i].view(np.uint64).tolist(), strict=True)]  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[pick].view(np.int64)), pa.array(named(pick), pa.binary()), pa.array(n[pick]), pa.array(s[pick]), pa.array(named(lead), pa.binary()), pa.array(n[lead]), pa.array(scan_it[pick])],
-                names=["bucket", "node", "n", "short", "leader", "leader_n", "scan"],
+                names=["bucket", "node", "n", "place", "leader", "leader_n", "scan"],
             )
 
-    entries = sketched.select("low", "n", "short", F.posexplode("lists").alias("at", "x")).select("x", F.col("low").alias("y"), "n", (F.col("at") < F.col("short")).alias("short"))
-    entries = entries.repartition(F.shiftrightunsigned("x", 24)).sortWithinPartitions("x", "y")
-    return entries.select("x", "y", "n", F.col("short").cast("int").alias("short")).mapInArrow(scan, "bucket long, node binary, n int, short int, leader binary, leader_n int, scan boolean")
+    # of two shingles of a set that fall into one list, the first place counts
+    entries = sketched.select("n", F.col("low").alias("y"), F.posexplode("lists").alias("place", "x"))
+    entries = entries.repartition(F.shiftrightunsigned("x", 24)).sortWithinPartitions("x", "y", "place")
+    return entries.select("x", "y", "n", "place").mapInArrow(scan, "bucket long, node binary, n int, place int, leader binary, leader_n int, scan boolean")
 
 
 def _compatible(n, s, m, r, boundary: int, percent: int):
-    """Whether sets of n and m can link by the list that they share: one is heavy, sizes allow it, and the smaller has the shingle among its first."""
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    first = np.where(n < m, s, np.where(m < n, r, s & r))
-    return (large > boundary) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & (first == 1)
+    """Whether sets of n and m can link by the list that they share, if it is their first one: one is heavy, sizes allow it, and
+    both have as many shingles from their place there, s and r, as they must share."""
+    small, large = np.minimum(n, m).astype(np.int64), np.maximum(n, m).astype(np.int64)
+    shared = least(small, large, percent)
+    return (large > boundary) & (100 * small >= percent * large) & (n - s >= shared) & (m - r >= shared)
 
 
 def light_links(sketched: DataFrame, percent: int) -> DataFrame:
@@ -413,7 +444,7 @@ def _root(root: np.ndarray, i: int) -> int:
     return i
 
 
-def scan_list(n, short, comp, block, bits, ends, boundary: int, percent: int, every: bool):
+def scan_list(n, place, comp, block, bits, ends, boundary: int, percent: int, every: bool):
     """Pairs (positions) across components that sizes, places and bitmaps allow: all, or enough to connect what they connect.
     ``ends``: the two blocks that are held against each other, or one block twice."""
     maps = _Bitmaps(bits)
@@ -426,7 +457,7 @@ def scan_list(n, short, comp, block, bits, ends, boundary: int, percent: int, ev
 
     def held(some: np.ndarray):
         now = comp if every else np.array([_root(root, int(c)) for c in comp])
-        fine = _compatible(n[some][:, None], short[some][:, None], n[right][None, :], short[right][None, :], boundary, percent) & (now[some][:, None] != now[right][None, :])
+        fine = _compatible(n[some][:, None], place[some][:, None], n[right][None, :], place[right][None, :], boundary, percent) & (now[some][:, None] != now[right][None, :])
         i, j = np.nonzero(fine)
         a, b = some[i], right[j]
         if ends[0] == ends[1] and every:
@@ -454,18 +485,18 @@ def scan_list(n, short, comp, block, bits, ends, boundary: int, percent: int, ev
 
 
 def _scanned(lists: DataFrame, bits: DataFrame, boundary: int, percent: int, every: bool) -> DataFrame:
-    """(a, b) from lists (bucket, node, n, short, comp); long ones are held block against block. Bitmaps (b_node, bits) come last,
+    """(a, b) from lists (bucket, node, n, place, comp); long ones are held block against block. Bitmaps (b_node, bits) come last,
     so that they are sent once."""
     size = lists.groupBy(F.col("bucket").alias("z_bucket")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     rows = lists.join(size, F.col("bucket") == F.col("z_bucket"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "short", "comp", "block")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "n", "place", "comp", "block")
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         """The pairs of whole runs; small ones all at once, others one by one."""
         key = [t.column(c).to_numpy() for c in ("bucket", "one", "two")]
         node, bits = t.column("node").to_pylist(), t.column("bits").to_pylist()
-        n, short, block = (t.column(c).to_numpy() for c in ("n", "short", "block"))
+        n, place, block = (t.column(c).to_numpy() for c in ("n", "place", "block"))
         comp = np.unique(np.array(t.column("comp").to_pylist(), object), return_inverse=True)[1].ravel()
         start = np.ones(len(n), bool)
         start[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
@@ -476,7 +507,7 @@ def _scanned(lists: DataFrame, bits: DataFrame, boundary: int, percent: int, eve
             rows = at[size == r][:, None] + np.arange(r)
             for s in range(0, len(rows), 1 + (1 << 20) // (r * r)):
                 some = rows[s : s + 1 + (1 << 20) // (r * r)]
-                fits = _compatible(n[some][:, :, None], short[some][:, :, None], n[some][:, None, :], short[some][:, None, :], boundary, percent)
+                fits = _compatible(n[some][:, :, None], place[some][:, :, None], n[some][:, None, :], place[some][:, None, :], boundary, percent)
                 fits &= comp[some][:, :, None] != comp[some][:, None, :]
                 run, i, j = np.nonzero(np.triu(fits, 1))
                 found_a.append(some[run, i])
@@ -505,7 +536,7 @@ def _scanned(lists: DataFrame, bits: DataFrame, boundary: int, percent: int, eve
             s, e = int(at[g]), int(at[g] + size[g])
             own = np.unique(comp[s:e], return_inverse=True)[1].ravel()
             ends = int(key[1][s]), int(key[2][s])
-            for i, j in zip(*(x.tolist() for x in scan_list(n[s:e], short[s:e], own, block[s:e], bits[s:e], ends, boundary, percent, every)), strict=True):
+            for i, j in zip(*(x.tolist() for x in scan_list(n[s:e], place[s:e], own, block[s:e], bits[s:e], ends, boundary, percent, every)), strict=True):
                 x, y = node[s + i], node[s + j]
                 out.add((x, y) if x < y else (y, x))
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -547,7 +578,7 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
     star = materialize(_passing(materialize(star.distinct(), "to-leaders"), nodes, percent), "passing")
     # what a scan of the lists gives before anything is decided, with pairs to leaders taken as links: the texts needed
     guess = _components(star if light is None else star.unionByName(light))
-    lists = found.where("scan").select("bucket", "node", "n", "short")
+    lists = found.where("scan").select("bucket", "node", "n", "place")
     lists = lists.join(guess, F.col("node") == F.col("k_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("k_node", "root")
     bits = nodes.select(F.col("node").alias("b_node"), "bits").hint("merge")
     mixed = lambda rows: rows.join(rows.groupBy(F.col("bucket").alias("v_bucket")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v_bucket").hint("merge"), F.col("bucket") == F.col("v_bucket"), "left_semi")
@@ -560,7 +591,7 @@ def linked(docs: DataFrame, nodes: DataFrame, sketched: DataFrame, boundary: int
     base = _components(links)
     # a set that no pair has passed with yet was held against all of its lists, and won't be again
     ends = pairs.select(F.explode(F.array("a", "b")).alias("e_node")).distinct().hint("merge")
-    lists = materialize(lists.select("bucket", "node", "n", "short").join(ends, F.col("node") == F.col("e_node"), "left_semi"), "lists")
+    lists = materialize(lists.select("bucket", "node", "n", "place").join(ends, F.col("node") == F.col("e_node"), "left_semi"), "lists")
     turn, every, joined = 0, False, True
     while True:
         now = lists.join(base, F.col("node") == F.col("k_node"), "left").withColumn("comp", F.coalesce("root", "node")).drop("k_node", "root")

@@ -227,6 +227,23 @@ def test_jaccard_join_of_a_group_under_the_threshold(spark):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in found.collect()) == brute_join(rows)
 
 
+def test_lists_leave_out_what_a_sample_of_few_texts_misses(spark, monkeypatch):
+    """Phrases of a fiftieth of all texts are frequent, however few texts the boundary's sample has."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 32)
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{g}q{k}" for k in range(12)) for g in range(50)]
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) + " " + phrases[i % 50]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    how = jaccard.plan(df, "text", 5, 80)
+    lists = jaccard.members(jaccard.sketches(df, how, "doc_id", "text", 5, 80), how[2], 80)
+    assert lists.where("scan").count() < 200
+
+
+def test_places_decide_in_a_list():
+    n, one, late = (np.array([x]) for x in (100, 11, 12))
+    assert jaccard._compatible(n, one, n, one, 0, 80) and not jaccard._compatible(n, one, n, late, 0, 80) and not jaccard._compatible(n - 20, one, n, one - 11, 0, 80)
+
+
 def test_boundary_follows_cost(spark):
     """Small sets whose shingles are rare are cheaper by lists, those that share much by subsets."""
     rare = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(16)]).alias("text"))
