@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lumenfold.operators import calibration, normalize
 
 
@@ -28,3 +29,16 @@ def test_samples_travel_in_stretches(spark, monkeypatch):
     few = sorted(tuple(r) for r in fit().collect())
     monkeypatch.setattr(normalize, "BROADCAST_KEYS", 0)
     assert len(few) == 2 and np.allclose(sorted(tuple(r) for r in fit().collect()), few)
+
+
+def test_samples_stay_where_they_are_until_tiles_are_assembled(spark):
+    """Gains come to the samples: these are sent once, summed up by pixel."""
+    found = __spark_entry__.queries()["assemble_tiles"](spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(pixel" in plan
