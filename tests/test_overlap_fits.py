@@ -57,3 +57,11 @@ def test_no_samples_of_pairs_are_written(spark, monkeypatch, name):
         monkeypatch.setattr(m, "materialize", lambda df, at, keep=keep: written.append(at) or keep(df, at))
     __spark_entry__.queries()[name](spark, SMALL).collect()
     assert not {"overlap-samples", "regression"} & set(written)
+
+
+def test_every_overlapping_pair_is_fitted(spark, tmp_path):
+    """Three boxes, of which two share most of each other and the third a corner with both."""
+    spark.createDataFrame([(35, 1, 0.0), (70, 1, 110.0), (105, 1, 1100.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = [(p, p, k, 1, 9.0, 100.0 + p % 37 + k / 100, "A") for k in (35, 70, 105) for p in range(0, 16 * 100, 16)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r["i"], r["j"]) for r in __spark_entry__.queries()["calibration_pairs"](spark, str(tmp_path)).collect()} == {(35, 70), (35, 105), (70, 105)}
